@@ -1,0 +1 @@
+"""Operators of the read-index and assembly-graph engine."""

@@ -1,0 +1 @@
+"""Plans of the read-index and assembly-graph engine."""

@@ -1,0 +1 @@
+"""Sources of the read-index and assembly-graph engine."""

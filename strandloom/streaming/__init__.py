@@ -1,0 +1 @@
+"""Streaming of the read-index and assembly-graph engine."""
