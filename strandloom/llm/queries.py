@@ -18,12 +18,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm import id_files
+
+    manifest = id_files.write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return id_files.digests(id_files.read_manifest(manifest))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
