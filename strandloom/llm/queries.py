@@ -25,6 +25,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm import langid
+
+    docs, path = table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken")
+    model = langid.fit(docs, ~langid.held_out(), path)
+    return langid.predict(docs, model, path).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.packing import pack
 
