@@ -52,6 +52,12 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digests(id_files.read_manifest(manifest))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm import secrets
+
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
