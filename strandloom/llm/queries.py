@@ -39,6 +39,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm import warc
+
+    folder = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
+    return warc.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.token_counts import count_tokens
 
