@@ -32,7 +32,7 @@ WORDS, SIMILARITY, RADIUS, SET = 5, 0.8, 18, 50_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingles(array: Column, n: int) -> Column:
@@ -41,6 +41,13 @@ def shingles(array: Column, n: int) -> Column:
     return F.when(F.size(array) >= n, runs).otherwise(F.array().cast("array<long>"))
 
 
+def _look(n: int, known: list[int] | None = None):
+    """Of a place in column w: the hash of n words from there, or whether it is known."""
+    if known is None:
+        return lambda i: F.xxhash64(F.slice("w", i, n))
+    return lambda i: F.xxhash64(F.slice("w", i, n)).isin(known)
+
+
 def _lanes(h: str) -> list[Column]:
     """Sums of the bits of h, four to a long in lanes of 16 bits."""
     out = []
@@ -57,17 +64,16 @@ def _fingerprint(count: Column) -> Column:
     for k in range(16):
         for b in range(4):
             ones = F.shiftrightunsigned(F.col(f"lane{k}"), 16 * b).bitwiseAND(F.lit(0xFFFF))
-            bits.append(F.when(2 * ones > count, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    total = F.shiftleft(bits[0], 0)
-    for i, bit in enumerate(bits[1:], 1):
-        total = total.bitwiseOR(F.shiftleft(bit, i))
-    return total
+            bits.append(F.shiftleft((2 * ones > count).cast("long"), 4 * k + b))
+    while len(bits) > 1:
+        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
+    return bits[0]
 
 
 def _simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, fp) of rows (keys, h)."""
+    """(keys, m, fp) of rows (keys, h); written, or the long expression would be repeated for each block."""
     sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *_lanes("h"))
-    return sums.select(*keys, "m", _fingerprint(F.col("m")).alias("fp"))
+    return stored(sums.select(*keys, "m", _fingerprint(F.col("m")).alias("fp")), "bench-fingerprints")
 
 
 def _blocks(fp: str) -> Column:
@@ -83,7 +89,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col(item_col).alias("item"), words(text_or_empty(item_text)).alias("w")).where(F.size("w") > 0)
-    items = items.select(F.monotonically_increasing_id().alias("row"), "item", F.size("w").alias("n"), F.least(F.size("w"), F.lit(WORDS)).alias("g"), "w")
+    items = stored(items.select(F.monotonically_increasing_id().alias("row"), "item", F.size("w").alias("n"), F.least(F.size("w"), F.lit(WORDS)).alias("g"), "w"), "bench-words")
     by_size = [items.where(F.col("g") == g).select("row", "item", "n", "g", shingles(F.col("w"), g).alias("hashes")) for g in range(1, WORDS + 1)]
     items = by_size[0]
     for x in by_size[1:]:
@@ -95,19 +101,27 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return docs.select(F.col(id_col)).limit(0).crossJoin(benchmark.select(F.col(item_col)).limit(0)).select(id_col, item_col, F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
-    rows = rows.select("id", "key", *[shingles(F.col("w"), g).alias(f"h{g}") for g in sizes])
+    # the row number keeps the filter below from moving under this projection, where it would cut the words anew for each shingle
+    rows = rows.select("id", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    # of m shingles of a similar window at most m (1 - s) / (1 + s) are not the item's, so some run of this many is: one look a run finds it
+    lost = F.floor((F.col("n") - F.col("g") + 1) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
+    runs = {r.g: int(r.run) for r in items.groupBy("g").agg(F.min(F.ceil((F.col("n") - F.col("g") + 1 - lost) / (lost + 1))).alias("run")).collect()}
     known = grams.select("g", "h").distinct()
+    places = lambda g: F.when(F.size("w") >= g, F.sequence(F.lit(1), F.size("w") - (g - 1), F.lit(runs[g]))).otherwise(F.array().cast("array<int>"))
     if known.count() <= SET:
-        sets = {g: ",".join(f"{r.h}L" for r in known.where(F.col("g") == g).collect()) for g in sizes}
-        rows = rows.where(" or ".join(f"exists(h{g}, x -> x in ({sets[g].replace('-9223372036854775808L', '(-9223372036854775807L - 1L)')}))" for g in sizes))
+        sets = {g: [r.h for r in known.where(F.col("g") == g).collect()] for g in sizes}
+        seen = F.lit(False)
+        for g in sizes:
+            seen = seen | F.exists(places(g), _look(g, sets[g]))
+        rows = rows.where(seen)
     else:
         held = None
         for g in sizes:
-            hit = rows.select("id", "key", F.explode(f"h{g}").alias("h")).join(known.where(F.col("g") == g), "h", "left_semi").select("id", "key")
+            hit = rows.select("id", "key", F.explode(F.transform(places(g), _look(g))).alias("h")).join(known.where(F.col("g") == g), "h", "left_semi").select("id", "key")
             held = hit if held is None else held.unionByName(hit)
         rows = rows.alias("r").join(held.distinct().alias("k"), (F.col("r.key") == F.col("k.key")) & F.col("r.id").eqNullSafe(F.col("k.id")), "left_semi")
-    near = stored(rows.dropDuplicates(["id", "key"]), "bench-near")
+    near = stored(rows, "bench-hits").dropDuplicates(["id", "key"])
+    near = stored(near.select("id", "key", *[shingles(F.col("w"), g).alias(f"h{g}") for g in sizes]), "bench-near")
 
     spots = None
     for g in sizes:

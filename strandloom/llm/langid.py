@@ -213,22 +213,26 @@ class _Known(dict):
         return k
 
 
-def _predict(batches, path, model):
-    langs, prob = model.value
-    pieces, known, table = pieces_of(path), _Known(), np.zeros((0, len(langs)))
-    for b in batches:
-        texts = b["text"].to_pylist()
+class _Predictor:
+    """Remembers the scores of the first words it meets, which are the frequent ones; later ones are scored anew."""
+
+    def __init__(self, path: str, model):
+        self.langs, self.prob = model
+        self.pieces, self.known, self.table = pieces_of(path), _Known(), np.zeros((0, len(self.langs)))
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        langs, known = self.langs, self.known
         split = [t.lower().split() for t in texts]
         flat = [w for words in split for w in words]
         rows = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         if known.new:
-            table = np.concatenate([table, word_scores(pieces, known.new, prob)])
+            self.table = np.concatenate([self.table, word_scores(self.pieces, known.new, self.prob)])
             known.new.clear()
         total = np.zeros((len(texts), len(langs)))
-        sizes = np.array([len(x) for x in split])
+        sizes = np.array([len(x) for x in split], int)
         full, starts = sizes > 0, np.cumsum(sizes) - sizes
         if len(flat) and langs:
-            total[full] = np.add.reduceat(table[rows], starts[full], axis=0)
+            total[full] = np.add.reduceat(self.table[rows], starts[full], axis=0)
         pred, score = [], []
         for t, row in zip(texts, total, strict=True):
             if not langs or not any(map(str.isalpha, t)):
@@ -238,11 +242,25 @@ def _predict(batches, path, model):
                 k = int(row.argmax())
                 pred.append(langs[k])
                 score.append(float(1 / np.exp(row - row[k]).sum()))
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "text"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*(c for c in b.schema.names if c != "text"), "lang_pred", "score"])
-        if len(known) > WORDS:  # the first words seen are the frequent ones; later ones are scored anew
+        if len(known) > WORDS:
             for w in list(known)[WORDS:]:
                 del known[w]
-            table = table[:WORDS]
+            self.table = self.table[:WORDS]
+        return pred, score
+
+
+def _predict(batches, path, model):
+    predictor = _Predictor(path, model.value)
+    for b in batches:
+        pred, score = predictor(b["text"].to_pylist())
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+
+
+def _keep(batches, path, model, text_col):
+    predictor = _Predictor(path, model.value)
+    for b in batches:
+        pred, _ = predictor([t or "" for t in b[text_col].to_pylist()])
+        yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,5 +271,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_
     return rows.mapInArrow(partial(_predict, path=path, model=sent), f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language can be told: the others have no letter or no text."""
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_keep, path=path, model=sent, text_col=text_col), docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2

@@ -161,3 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.join(found, named["rep"] == found["node"], "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     classes = classes.withColumn("component_id", F.when(F.col("component_id") < 1 << 62, F.col("component_id")))
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """The documents, with all their columns, that have the smallest id of their component; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, words, radius)
+    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("gone")).distinct(), "near-duplicates")
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

@@ -19,11 +19,14 @@ def brute(docs, items):
     out = set()
     for d, t in docs:
         w = toks(t)
+        held = {tuple(w[i : i + g]) for g in range(1, 6) for i in range(len(w) - g + 1)}
         for i, b in items:
             v = toks(b)
             if not v:
                 continue
             a, best = grams(v), None
+            if held.isdisjoint(a):
+                continue
             for s in range(len(w) - len(v) + 1):
                 x = grams(w[s : s + len(v)])
                 c = sum((a & x).values())

@@ -1,0 +1,4 @@
+"""Brute-force versions shared by the tests."""
+
+from test_decontaminate import brute as brute_leaks  # noqa: F401
+from test_simhash import brute_components  # noqa: F401
