@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from strandloom.plans.views import K, ORD, bit, canon, rc
 
+#: The letters' bases as digits A C G T = 0 to 3, where a base and its complement add up to 3.
+DIGITS = "10321032103210321032103210"
 N_FREE = """SELECT read_id, lib_id, i, region, start, qual, CAST(length(region) AS INT) AS len FROM (
     SELECT read_id, lib_id, i, qual, CASE WHEN npos = 0 OR npos > 50 THEN substr(seq_n, 1, CASE WHEN npos = 0 THEN 100 ELSE npos - 1 END) ELSE substr(seq_n, npos + 1) END AS region,
     CAST(CASE WHEN npos = 0 OR npos > 50 THEN 0 ELSE npos END AS INT) AS start FROM (SELECT read_id, lib_id, i, qual, seq_n, CAST(position('N' IN seq_n) AS INT) AS npos FROM reads) a) b"""
@@ -106,5 +108,9 @@ SQL: dict[str, str] = {
     "overlaps": f"SELECT qid, rid, strand, consis_len FROM ({OVERLAPS}) o",
     "hamming": f"SELECT doc_id, rid, CAST(p AS INT) AS p, CAST(sum(CASE WHEN substr(part, CAST(k AS INT), 1) <> substr(seq, CAST(k AS INT), 1) THEN 1 ELSE 0 END) AS BIGINT) AS mismatches FROM (SELECT m.doc_id, m.rid, m.p, m.part, m.seq, RANGE(1; 100) AS k FROM (SELECT g.doc_id, g.p, substr(g.g, CAST(g.p AS INT), 100) AS part, f.rid, f.seq FROM (SELECT doc_id, g, RANGE(1; length(g) - 99) AS p FROM genomes) g JOIN ({FIRST}) f ON substr(g.g, CAST(g.p AS INT), {K}) = f.seed) m) h GROUP BY doc_id, rid, p",
     # all documents as one text of bases
-    "doc_kmer_hist": f"SELECT CAST(c AS INT) AS freq, count(*) AS n FROM (SELECT least(count(*), 255) AS c FROM (SELECT {canon('kp1')} AS kp1 FROM (SELECT substr(g, CAST(p AS INT), {K + 1}) AS kp1 FROM (SELECT g, RANGE(1; length(g) - {K}) AS p FROM (SELECT translate(upper(LETTERS(text, '[^A-Za-z]', '';ALL)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'CATGCATGCATGCATGCATGCATGCA') AS g FROM documents) a) b) w) d GROUP BY kp1) f GROUP BY 1",
+    # (letters become digits in base order and are complemented once a text; a window then costs two substrings and a comparison)
+    "doc_kmer_hist": f"""SELECT CAST(c AS INT) AS freq, count(*) AS n FROM (SELECT least(count(*), 255) AS c FROM
+        (SELECT least(substr(d, CAST(p AS INT), {K + 1}), substr(r, CAST(length(d) - p AS INT) - {K - 1}, {K + 1})) AS kp1 FROM
+            (SELECT d, r, RANGE(1; length(d) - {K}) AS p FROM (SELECT d, translate(reverse(d), '0123', '3210') AS r FROM
+                (SELECT translate(upper(LETTERS(text, '[^A-Za-z]', '';ALL)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{DIGITS}') AS d FROM documents) a) b) c) w GROUP BY kp1) f GROUP BY 1""",
 }
