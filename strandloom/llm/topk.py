@@ -27,6 +27,8 @@ from strandloom.llm.common import file_system, prepare, shared_dir
 
 #: Candidates and queries of a block; segments of the levels.
 CANDIDATES, QUERIES, LEVELS = 4096, 512, (1, 4, 16)
+#: Share of pairs from which a whole matrix product is the cheaper way; pairs taken singly at a time.
+DENSE, BATCH = 0.03, 1 << 16
 
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -69,35 +71,44 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def best(q_ids, q, c_ids, c, k):
-    """Positions (query, candidate) and scores of the k best candidates of each query; c_ids ascending. Also the pairs compared."""
+    """Positions (query, candidate) and scores of the k best candidates of each query; c_ids ascending. Also the pairs compared.
+
+    While many pairs are left, a level's bounds and the exact scores come from one matrix product; few pairs are taken singly.
+    """
     d = max(q.shape[1], c.shape[1], 1)
     q, c = _pad(q, d), _pad(c, d)
     bound = _stats(q, 1) @ _stats(c, 1).T
     own = q_ids[:, None] == c_ids[None, :]
     bound[own] = -np.inf
     take = min(k, len(c_ids))
-    first = np.argpartition(-bound, take - 1, axis=1)[:, :take]
+    first = np.argpartition(bound, len(c_ids) - take, axis=1)[:, len(c_ids) - take :]
     rows = np.repeat(np.arange(len(q_ids)), take)
     seed = _exact(q[rows], c[first.ravel()]).astype(float).reshape(-1, take)
     seed[np.take_along_axis(own, first, axis=1)] = -np.inf
-    least = seed.min(axis=1) if take == k else np.full(len(q_ids), -np.inf)
+    least = seed.min(axis=1, initial=np.inf) if take == k else np.full(len(q_ids), -np.inf)
     slack = 1 + 1e-9 * np.abs(bound[np.isfinite(bound)]).max(initial=0)
-    i, j = np.nonzero((bound + slack >= least[:, None]) & ~own)
+    alive, pairs = (bound + slack >= least[:, None]) & ~own, None
     for level in LEVELS[1:]:
         if level >= d:
             break
-        sq, sc, keep = _stats(q, level), _stats(c, level), np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 18):
-            a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            keep[at : at + (1 << 18)] = np.einsum("ij,ij->i", sq[a], sc[b]) + slack >= least[a]
-        i, j = i[keep], j[keep]
-    score = np.zeros(len(i), np.int64)
-    for at in range(0, len(i), 1 << 16):
-        score[at : at + (1 << 16)] = _exact(q[i[at : at + (1 << 16)]], c[j[at : at + (1 << 16)]])
+        sq, sc = _stats(q, level), _stats(c, level)
+        if pairs is None and alive.mean() > DENSE:
+            alive &= sq @ sc.T + slack >= least[:, None]
+            continue
+        i, j = np.nonzero(alive) if pairs is None else pairs
+        keep = np.concatenate([np.zeros(0, bool)] + [np.einsum("ij,ij->i", sq[i[at : at + BATCH]], sc[j[at : at + BATCH]]) + slack >= least[i[at : at + BATCH]] for at in range(0, len(i), BATCH)])
+        pairs = i[keep], j[keep]
+    compared = int(alive.sum()) if pairs is None else len(pairs[0])
+    if pairs is None and alive.mean() > DENSE and np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * d < 1 << 53:
+        score = np.where(alive, q @ c.T, -np.inf)
+        least = np.partition(score, len(c_ids) - take, axis=1)[:, len(c_ids) - take] if take == k else least
+        alive &= score >= least[:, None]
+    i, j = np.nonzero(alive) if pairs is None else pairs
+    score = np.concatenate([np.zeros(0, np.int64)] + [_exact(q[i[at : at + BATCH]], c[j[at : at + BATCH]]) for at in range(0, len(i), BATCH)])
     order = np.lexsort((c_ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-    return i[rank < k], j[rank < k], score[rank < k], len(order)
+    return i[rank < k], j[rank < k], score[rank < k], compared
 
 
 def _search(batches, queries, k):
