@@ -6,9 +6,9 @@ when at most `radius` (3) bits differ; documents of linked fingerprints form one
 Candidates. A pivot table holds, for each fingerprint, its Hamming distances to many reference fingerprints. By the
 triangle inequality a pair whose distances to any one reference differ by more than the radius is no pair, so the
 largest coordinate difference discards pairs before they are compared. The table alone would still have to look at every
-pair: a reference discards about half of unrelated pairs, whatever the number of rows. So the table is applied inside
-cells: the references of a first kind look at one of `radius + 2` bit blocks each, and two fingerprints within the
-radius are at distance 0 of each other in at least two of those blocks. Rows meet in the cell of each pair of blocks.
+pair: a reference discards about half of unrelated pairs, whatever the number of rows. So rows first meet in cells: the
+64 bits are cut into `radius + 2` blocks, of which two fingerprints within the radius share at least two, and there is a
+cell for the bits of each pair of blocks. Inside a cell the table discards pairs and the survivors are compared.
 
 Hot cells (thousands of near copies) are cut into tiles and each pair of tiles is a task's unit of work; a unit sends on
 a spanning forest of its links, never the pairs. So memory and output are bounded by the tile, not by the group.
