@@ -6,8 +6,8 @@ is the product over its words (pieces never cross white space). The language wit
 score is its share among all learned languages.
 
 Fitting: expected piece counts of each language under the equal-probability model (forward and backward pass over each
-distinct word), normalised with a small addend. The fit takes at most TRAIN_DOCS labelled rows, drawn by a hash of the
-id so that every row is as likely; prediction reads every row whole.
+distinct word), normalised with a small addend. The fit takes about TRAIN_DOCS labelled rows, drawn by a hash of id
+and text so that every row is as likely; prediction reads every row whole.
 
 Defined results: text that is null or without a letter gets "und" and score 0, as does every row when nothing could be
 learned; ties go to the language that sorts first; repeated rows and null ids give a row each; an empty table gives an
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text_
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     n = rows.count()
     if n > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)) < int((1 << 40) * train_docs / n))
+        rows = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(1 << 40)) < int((1 << 40) * train_docs / n))
     got = rows.select("text", "lang").mapInArrow(partial(_fit_part, path=path), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(got["lang"]))
     if len(langs) > LANGUAGES:
