@@ -26,15 +26,20 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unitigs(edges: DataFrame) -> DataFrame:
-    """(head, n_kmers, mean_freq, seq) of maximal unbranched paths over canonical solid edges (kp1, freq), one strand each.
+def oriented(edges: DataFrame) -> DataFrame:
+    """(kp1, freq, a, b): each edge in both orientations, with the K-mers it leaves and enters."""
+    both = edges.select("kp1", "freq").union(edges.select(revcomp(F.col("kp1")).alias("kp1"), "freq")).distinct()
+    return both.select("kp1", "freq", F.substring("kp1", 1, K).alias("a"), F.substring("kp1", 2, K).alias("b"))
+
+
+def ranked(edges: DataFrame) -> DataFrame:
+    """(kp1, freq, root, dist): for each oriented edge of canonical edges (kp1, freq) the first edge of its path and the way from there.
 
     A path's edge is joined to the next where the K-mer between them has one edge in and one out. Ranks come from pointer
-    doubling: each round, an edge's pointer becomes its target's and distances add up. Pure cycles have no head; rounds
-    stop when no pointer moves or, as cycles never settle, after as many as the longest path can need.
+    doubling: each round, an edge's pointer becomes its target's and distances add up. Pure cycles have no first edge and
+    no rows; rounds stop when no pointer moves or, as cycles never settle, after as many as the longest path can need.
     """
-    both = edges.select("kp1", "freq").union(edges.select(revcomp(F.col("kp1")).alias("kp1"), "freq")).distinct()
-    both = both.select("kp1", "freq", F.substring("kp1", 1, K).alias("a"), F.substring("kp1", 2, K).alias("b"))
+    both = oriented(edges)
     into, out = both.groupBy("b").agg(F.count(F.lit(1)).alias("n_in"), F.first("kp1").alias("prev")), both.groupBy("a").agg(F.count(F.lit(1)).alias("n_out"))
     simple = into.join(out, into["b"] == out["a"]).where("n_in = 1 and n_out = 1").select(F.col("b").alias("node"), "prev")
     state = _kept(both.join(simple, both["a"] == simple["node"], "left").select("kp1", "freq", "prev", F.col("prev").isNotNull().cast("long").alias("dist")).withColumn("root", F.coalesce("prev", "kp1")))
@@ -42,12 +47,18 @@ def unitigs(edges: DataFrame) -> DataFrame:
     for _ in range(rounds):
         far = state.select(F.col("kp1").alias("k"), F.col("root").alias("r2"), F.col("dist").alias("d2"))
         after = _kept(state.join(far, state["root"] == far["k"]).select("kp1", "freq", "prev", F.col("r2").alias("root"), (F.col("dist") + F.col("d2")).alias("dist")))
-        moving = after.where("dist > 0").agg(F.sum("dist")).first()[0] != state.where("dist > 0").agg(F.sum("dist")).first()[0]
+        moving = after.agg(F.sum("dist")).first()[0] != state.agg(F.sum("dist")).first()[0]
         state = after
         if not moving:
             break
     heads = state.where("prev is null").select(F.col("kp1").alias("head"))
-    paths = state.join(heads, state["root"] == heads["head"]).groupBy("head").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("freq").alias("total"), F.sort_array(F.collect_list(F.struct("dist", F.substring("kp1", K + 1, 1).alias("c")))).alias("path"))
+    return state.join(heads, state["root"] == heads["head"], "left_semi").select("kp1", "freq", "root", "dist")
+
+
+def unitigs(edges: DataFrame) -> DataFrame:
+    """(head, n_kmers, mean_freq, seq) of maximal unbranched paths over canonical solid edges (kp1, freq), one strand each."""
+    state = ranked(edges).withColumnRenamed("root", "head")
+    paths = state.groupBy("head").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("freq").alias("total"), F.sort_array(F.collect_list(F.struct("dist", F.substring("kp1", K + 1, 1).alias("c")))).alias("path"))
     paths = paths.select("head", (F.col("n_edges") + 1).alias("n_kmers"), F.floor(F.col("total") / F.col("n_edges")).alias("mean_freq"), F.concat(F.substring("head", 1, K), F.array_join(F.transform("path", lambda x: x["c"]), "")).alias("seq"))
     return paths.where(encode(F.col("seq")) <= encode(revcomp(F.col("seq"))))
 
