@@ -27,28 +27,29 @@ class Graph:
     edges: DataFrame
     ranks: DataFrame
     segments: DataFrame
+    k: int = K
 
 
-def node_table(edges: DataFrame) -> DataFrame:
+def node_table(edges: DataFrame, k: int = K) -> DataFrame:
     """(kmer, freq, n_in, n_out) of oriented K-mers; an edge that is its own reverse complement counts twice, as on two strands."""
-    both = oriented(edges).withColumn("w", F.when(F.col("kp1") == revcomp(F.col("kp1")), 2 * F.col("freq")).otherwise(F.col("freq")))
+    both = oriented(edges, k).withColumn("w", F.when(F.col("kp1") == revcomp(F.col("kp1")), 2 * F.col("freq")).otherwise(F.col("freq")))
     ends = both.select(F.col("a").alias("kmer"), "w", F.lit(0).alias("i"), F.lit(1).alias("o")).union(both.select("b", "w", F.lit(1), F.lit(0)))
     raw = F.least(2 * F.sum("w"), F.lit(255))
     freq = F.when(raw > 4, F.floor((raw + 1) / 4)).otherwise(1)
     return ends.groupBy("kmer").agg(freq.cast("int").alias("freq"), F.sum("i").cast("int").alias("n_in"), F.sum("o").cast("int").alias("n_out"))
 
 
-def build(edges: DataFrame) -> Graph:
+def build(edges: DataFrame, k: int = K) -> Graph:
     """Segments (head, start, end, n, mean_freq, seq, freqs, start_*, end_*); n counts the nodes after the first, the last included."""
-    ranks, nodes = _kept(ranked(edges)), _kept(node_table(edges))
-    steps = ranks.join(nodes.select("kmer", F.col("freq").alias("f")), F.substring("kp1", 2, K) == F.col("kmer"))
-    paths = steps.groupBy(F.col("root").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("total"), F.sort_array(F.collect_list(F.struct("dist", F.substring("kp1", K + 1, 1).alias("c"), "f"))).alias("path"))
-    seq = F.concat(F.substring("head", 1, K), F.array_join(F.transform("path", lambda x: x["c"]), ""))
+    ranks, nodes = _kept(ranked(edges, k)), _kept(node_table(edges, k))
+    steps = ranks.join(nodes.select("kmer", F.col("freq").alias("f")), F.substring("kp1", 2, k) == F.col("kmer"))
+    paths = steps.groupBy(F.col("root").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("total"), F.sort_array(F.collect_list(F.struct("dist", F.substring("kp1", k + 1, 1).alias("c"), "f"))).alias("path"))
+    seq = F.concat(F.substring("head", 1, k), F.array_join(F.transform("path", lambda x: x["c"]), ""))
     paths = paths.select("head", "n", F.floor(F.col("total") / F.col("n")).alias("mean_freq"), seq.alias("seq"), F.transform("path", lambda x: x["f"]).alias("later"))
-    paths = paths.withColumn("start", F.substring("seq", 1, K)).withColumn("end", F.expr(f"right(seq, {K})"))
+    paths = paths.withColumn("start", F.substring("seq", 1, k)).withColumn("end", F.expr(f"right(seq, {k})"))
     side = lambda s: nodes.select(F.col("kmer").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("freq", "n_in", "n_out")))
     found = paths.join(side("start"), "start").join(side("end"), "end").withColumn("freqs", F.concat(F.array("start_freq"), "later")).drop("later")
-    return Graph(edges, ranks, _kept(found))
+    return Graph(edges, ranks, _kept(found), k)
 
 
 def segment_table(g: Graph) -> DataFrame:
@@ -59,7 +60,7 @@ def segment_table(g: Graph) -> DataFrame:
 def tips(g: Graph) -> DataFrame:
     """Segments from a branching node that are weak and shorter than 2K nodes, or that end within K nodes."""
     s = g.segments.where("start_n_in > 1 or start_n_out > 1")
-    return s.where(((F.col("mean_freq") <= ERROR_FREQ) & (F.col("n") < 2 * K)) | ((F.col("n") <= K) & (F.col("end_n_out") == 0)))
+    return s.where(((F.col("mean_freq") <= ERROR_FREQ) & (F.col("n") < 2 * g.k)) | ((F.col("n") <= g.k) & (F.col("end_n_out") == 0)))
 
 
 def bubbles(g: Graph, valley: int, peak: int) -> DataFrame:
@@ -79,10 +80,10 @@ def without(g: Graph, bad: DataFrame) -> DataFrame:
     return g.edges.join(gone, "kp1", "left_anti")
 
 
-def simplify(edges: DataFrame, valley: int, peak: int) -> Graph:
+def simplify(edges: DataFrame, valley: int, peak: int, k: int = K) -> Graph:
     """The graph after its tips, and then its bubbles, are gone."""
-    clipped = build(_kept(without(g := build(edges), tips(g))))
-    return build(_kept(without(clipped, bubbles(clipped, valley, peak))))
+    clipped = build(_kept(without(g := build(edges, k), tips(g))), k)
+    return build(_kept(without(clipped, bubbles(clipped, valley, peak))), k)
 
 
 def vertices(g: Graph) -> DataFrame:
@@ -120,16 +121,16 @@ def self_cycles(g: Graph, reads: DataFrame, least: int) -> DataFrame:
     A read runs through where it holds the vertex with a base before and a base after it.
     """
     loops = vertices(g).join(links(g).where("side = 'r' and strand = '+' and src = dst").select(F.col("src").alias("id")), "id", "left_semi").where("indegree = 2 and outdegree = 2").select("id", "seq")
-    both = reads.select("seq").union(reads.select(revcomp(F.col("seq")))).withColumnRenamed("seq", "read").where(F.length("read") > K + 1)
-    at = both.select("read", F.explode(F.sequence(F.lit(2), F.length("read") - K)).alias("p")).withColumn("seed", F.expr(f"substr(read, p, {K})"))
-    hits = loops.withColumn("seed", F.substring("seq", 1, K)).join(at, "seed").where("substr(read, p, length(seq)) = seq and p + length(seq) <= length(read)")
+    both = reads.select("seq").union(reads.select(revcomp(F.col("seq")))).withColumnRenamed("seq", "read").where(F.length("read") > g.k + 1)
+    at = both.select("read", F.explode(F.sequence(F.lit(2), F.length("read") - g.k)).alias("p")).withColumn("seed", F.expr(f"substr(read, p, {g.k})"))
+    hits = loops.withColumn("seed", F.substring("seq", 1, g.k)).join(at, "seed").where("substr(read, p, length(seq)) = seq and p + length(seq) <= length(read)")
     return hits.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
 
 
 def variants(g: Graph) -> DataFrame:
     """(text, n_alts): branches with the same ends that differ in a few leading bases, as start{a,b}end; one strand of each."""
-    alt = F.expr(f"substr(seq, {K + 1}, length(seq) - {2 * K})")
-    s = g.segments.where((F.length("seq") > 2 * K) & (F.length("seq") <= 2 * K + VARIANT)).withColumn("alt", alt)
+    alt = F.expr(f"substr(seq, {g.k + 1}, length(seq) - {2 * g.k})")
+    s = g.segments.where((F.length("seq") > 2 * g.k) & (F.length("seq") <= 2 * g.k + VARIANT)).withColumn("alt", alt)
     found = s.groupBy("start", "end").agg(F.array_sort(F.collect_set("alt")).alias("alts")).where("size(alts) > 1")
     one = found.where(encode(F.concat("start", "end")) <= encode(revcomp(F.concat("start", "end"))))
     return one.select(F.concat("start", F.lit("{"), F.array_join("alts", ","), F.lit("}"), "end").alias("text"), F.size("alts").alias("n_alts"))
@@ -151,28 +152,10 @@ def read_paths(g: Graph, reads: DataFrame) -> DataFrame:
     Each (K+1)-mer of a read is looked up once; a read whose every (K+1)-mer is an edge is a walk, since neighbours share a node.
     start is the place of the read's first base in its first segment.
     """
-    both = reads.select("read_id", F.lit("+").alias("strand"), "seq").union(reads.select("read_id", F.lit("-"), revcomp(F.col("seq")))).where(F.length("seq") > K)
-    at = both.select("read_id", "strand", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(1), F.length("seq") - K)).alias("p"), "seq").withColumn("kp1", F.expr(f"substr(seq, p, {K + 1})"))
+    both = reads.select("read_id", F.lit("+").alias("strand"), "seq").union(reads.select("read_id", F.lit("-"), revcomp(F.col("seq")))).where(F.length("seq") > g.k)
+    at = both.select("read_id", "strand", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(1), F.length("seq") - g.k)).alias("p"), "seq").withColumn("kp1", F.expr(f"substr(seq, p, {g.k + 1})"))
     ids = g.segments.select(F.col("head").alias("root"), F.sha1(canonical(F.col("seq"))).alias("id"))
-    hits = at.drop("seq").join(g.ranks.join(ids, "root"), "kp1").groupBy("read_id", "strand", "len").agg(F.sort_array(F.collect_list(F.struct("p", "dist", "id"))).alias("way")).where(F.size("way") == F.col("len") - K)
+    hits = at.drop("seq").join(g.ranks.join(ids, "root"), "kp1").groupBy("read_id", "strand", "len").agg(F.sort_array(F.collect_list(F.struct("p", "dist", "id"))).alias("way")).where(F.size("way") == F.col("len") - g.k)
     # a vertex begins where the read enters a segment: at its first base and wherever a segment's first edge is
     path = F.transform(F.filter("way", lambda x: (x["p"] == 1) | (x["dist"] == 0)), lambda x: x["id"])
     return hits.select("read_id", "strand", F.col("way")[0]["dist"].alias("start"), path.alias("path"), F.col("len").alias("map_len"))
-
-
-def align(reads: DataFrame, targets: DataFrame, step: int = 5, rate: float = 0.02) -> DataFrame:
-    """(read_id, id, strand, start, mismatches, cigar): each read's best place without gaps in targets (id, seq).
-
-    Seeds of K bases at every `step`-th base; at most `rate` of the bases may differ; ties go to the smaller id, place and strand.
-    CIGAR letters: M equal, U different.
-    """
-    both = reads.select("read_id", F.lit("+").alias("strand"), "seq").union(reads.select("read_id", F.lit("-"), revcomp(F.col("seq")))).where(F.length("seq") >= K)
-    seeds = both.select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - K, F.lit(step))).alias("o")).withColumn("seed", F.expr(f"substr(seq, o + 1, {K})"))
-    spots = targets.where(F.length("seq") >= K).select("id", F.explode(F.sequence(F.lit(0), F.length("seq") - K)).alias("p"), F.col("seq").alias("whole")).select("id", "p", F.expr(f"substr(whole, p + 1, {K})").alias("seed"))
-    places = seeds.join(spots, "seed").select("read_id", "strand", "seq", "id", (F.col("p") - F.col("o")).alias("start")).where("start >= 0").distinct()
-    laid = places.join(targets.select("id", F.col("seq").alias("whole")), "id").where("start + length(seq) <= length(whole)")
-    marks = F.expr("array_join(transform(sequence(1, length(seq)), k -> if(substr(seq, k, 1) = substr(whole, start + k, 1), 'M', 'U')), '')")
-    scored = laid.withColumn("marks", marks).withColumn("mismatches", F.length(F.replace("marks", F.lit("M"), F.lit("")))).where(F.col("mismatches") <= rate * F.length("seq"))
-    best = scored.groupBy("read_id").agg(F.min(F.struct("mismatches", "id", "start", "strand", "marks")).alias("b")).select("read_id", "b.*")
-    cigar = F.array_join(F.transform(F.regexp_extract_all("marks", F.lit("(M+|U+)"), F.lit(1)), lambda x: F.concat(F.length(x).cast("string"), F.substring(x, 1, 1))), "")
-    return best.select("read_id", "id", "strand", "start", "mismatches", cigar.alias("cigar"))

@@ -9,12 +9,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators import alignment
 from strandloom.operators import graph as G
 from strandloom.operators import scaffold
 from strandloom.plans.iterative import _kept
 from strandloom.plans.sql import SQL
+from strandloom.sources.reads import libraries
 
 VALLEY, PEAK = 3, 13
+LIBRARIES = """[global_setting]
+max_rd_len = 100
+[LIB]
+name = pairs
+avg_insert_len = 300
+insert_SD = 30
+diverse_rd_len = 1
+asm_flag = 3
+seq_profile = 1
+qual_benchmark = 33
+f1 = pairs_1.fq.gz
+f2 = pairs_2.fq.gz
+[LIB]
+name = singles
+diverse_rd_len = 1
+asm_flag = 1
+seq_profile = 2
+qual_benchmark = 33
+sf1 = singles.fa
+"""
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -31,6 +53,14 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(_sql(spark, sf_dir, "SELECT read_id, seq FROM reads"))
 
 
+def _unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(unitigs(spark, sf_dir).select("id", "seq"))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(G.vertices(G.build(edges(spark, sf_dir))).select("id", "seq"))
+
+
 def _simple(spark: SparkSession, sf_dir: str) -> G.Graph:
     return G.simplify(edges(spark, sf_dir), VALLEY, PEAK)
 
@@ -84,7 +114,35 @@ def map_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.align(_reads(spark, sf_dir), _kept(unitigs(spark, sf_dir).select("id", "seq")))
+    return alignment.align(_reads(spark, sf_dir), _unitigs(spark, sf_dir))
+
+
+def reads_map_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads lose a base (every third) or repeat one (every third again) first, as the derived reads have no gaps."""
+    text = "SELECT read_id, CASE i % 3 WHEN 0 THEN concat(substr(seq, 1, 40), substr(seq, 42)) WHEN 1 THEN concat(substr(seq, 1, 60), substr(seq, 60)) ELSE seq END AS seq FROM reads"
+    return alignment.align_gapped(_kept(_sql(spark, sf_dir, text)), _unitigs(spark, sf_dir))
+
+
+def flank_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.flanks(alignment.flank_pairs(_reads(spark, sf_dir)), allowed=2).select("qid", "rid", "strand", "n_diff", "consis_len")
+
+
+def flank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.flank_pool(_reads(spark, sf_dir), _segments(spark, sf_dir))
+
+
+def flank_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.extensions(flank_pool(spark, sf_dir))
+
+
+def readsmap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mates = _sql(spark, sf_dir, "SELECT read_id, read_id - i % 2 AS pair_id, i % 2 + 1 AS mate FROM reads WHERE lib_id < 2")
+    return alignment.mapped_groups(_kept(reads_map(spark, sf_dir)), mates)
+
+
+def lib_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The libraries of a library file with one library of each kind."""
+    return libraries(spark, LIBRARIES)
 
 
 def scaffold_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +154,4 @@ def scaffold_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (segments, tips, bubbles, unitigs, dbg_links, dbg_vertex_text, dbg_edge_text, self_cycles, bubble_merge, variant_expand, unitig_quality, map_paths, reads_map, scaffold_order, scaffold_seq)}
+    return {f.__name__: f for f in (segments, tips, bubbles, unitigs, dbg_links, dbg_vertex_text, dbg_edge_text, self_cycles, bubble_merge, variant_expand, unitig_quality, map_paths, reads_map, reads_map_gapped, flank_align, flank_pool, flank_extend, readsmap_groups, lib_config, scaffold_order, scaffold_seq)}

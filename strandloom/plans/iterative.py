@@ -26,20 +26,20 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def oriented(edges: DataFrame) -> DataFrame:
+def oriented(edges: DataFrame, k: int = K) -> DataFrame:
     """(kp1, freq, a, b): each edge in both orientations, with the K-mers it leaves and enters."""
     both = edges.select("kp1", "freq").union(edges.select(revcomp(F.col("kp1")).alias("kp1"), "freq")).distinct()
-    return both.select("kp1", "freq", F.substring("kp1", 1, K).alias("a"), F.substring("kp1", 2, K).alias("b"))
+    return both.select("kp1", "freq", F.substring("kp1", 1, k).alias("a"), F.substring("kp1", 2, k).alias("b"))
 
 
-def ranked(edges: DataFrame) -> DataFrame:
+def ranked(edges: DataFrame, k: int = K) -> DataFrame:
     """(kp1, freq, root, dist): for each oriented edge of canonical edges (kp1, freq) the first edge of its path and the way from there.
 
     A path's edge is joined to the next where the K-mer between them has one edge in and one out. Ranks come from pointer
     doubling: each round, an edge's pointer becomes its target's and distances add up. Pure cycles have no first edge and
     no rows; rounds stop when no pointer moves or, as cycles never settle, after as many as the longest path can need.
     """
-    both = oriented(edges)
+    both = oriented(edges, k)
     into, out = both.groupBy("b").agg(F.count(F.lit(1)).alias("n_in"), F.first("kp1").alias("prev")), both.groupBy("a").agg(F.count(F.lit(1)).alias("n_out"))
     simple = into.join(out, into["b"] == out["a"]).where("n_in = 1 and n_out = 1").select(F.col("b").alias("node"), "prev")
     state = _kept(both.join(simple, both["a"] == simple["node"], "left").select("kp1", "freq", "prev", F.col("prev").isNotNull().cast("long").alias("dist")).withColumn("root", F.coalesce("prev", "kp1")))
@@ -64,17 +64,20 @@ def unitigs(edges: DataFrame) -> DataFrame:
 
 
 def groups(links: DataFrame) -> DataFrame:
-    """(unitig, group_id) of unordered links (u1, u2): group_id is the smallest unitig in reach."""
+    """(unitig, group_id) of unordered links (u1, u2): group_id is the smallest unitig in reach, whatever the type of unitigs.
+
+    Each round, a unitig takes the least label around it and then that label's own; rounds end when no label changes.
+    """
     both = _kept(links.select(F.col("u1").alias("u"), F.col("u2").alias("v")).union(links.select("u2", "u1")).distinct())
     labels = _kept(both.select(F.col("u").alias("unitig"), F.col("u").alias("group_id")).distinct())
     while True:
         near = both.join(labels, both["v"] == labels["unitig"]).groupBy("u").agg(F.min("group_id").alias("m"))
-        low = labels.join(near, labels["unitig"] == near["u"]).select("unitig", F.least("group_id", "m").alias("group_id"))
+        low = labels.join(near, labels["unitig"] == near["u"]).select("unitig", F.col("group_id").alias("was"), F.least("group_id", "m").alias("group_id"))
         hop = low.select(F.col("unitig").alias("x"), F.col("group_id").alias("g2"))
-        after = _kept(low.join(hop, low["group_id"] == hop["x"]).select("unitig", F.least("group_id", "g2").alias("group_id")))
-        if after.agg(F.sum("group_id")).first()[0] == labels.agg(F.sum("group_id")).first()[0]:
-            return after
-        labels = after
+        after = _kept(low.join(hop, low["group_id"] == hop["x"]).select("unitig", "was", F.least("group_id", "g2").alias("group_id")))
+        labels = after.select("unitig", "group_id")
+        if after.where("group_id <> was").isEmpty():
+            return labels
 
 
 def queries() -> dict:

@@ -101,3 +101,10 @@ def parse_libraries(text: str) -> tuple[dict, list[dict]]:
     if "max_rd_len" not in settings:
         raise ValueError("max_rd_len is missing")
     return settings, libraries
+
+
+def libraries(spark: SparkSession, text: str) -> DataFrame:
+    """(lib_id, name, paired, insert_size, insert_sd, diverse_rd_len, asm_flag, seq_profile, qual_benchmark, files) of a library text, in its order."""
+    _, libs = parse_libraries(text)
+    kinds = {"name": "string", "paired": "boolean", "insert_size": "int", "insert_sd": "int", "diverse_rd_len": "int", "asm_flag": "int", "seq_profile": "int", "qual_benchmark": "int", "files": "array<string>"}
+    return spark.createDataFrame([(i, *(lib[c] for c in kinds)) for i, lib in enumerate(libs)], "lib_id int, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))

@@ -91,13 +91,6 @@ def test_cycle_counts_reads_through_it(spark):
     assert canon(row.seq) == canon(LOOP) and row.support == 2
 
 
-def test_align_takes_the_place_with_fewest_differences(spark):
-    targets = spark.createDataFrame([("a", TEXT[:200]), ("b", TEXT[150:])], "id string, seq string")
-    reads = spark.createDataFrame([(1, TEXT[20:120]), (2, rc(swap(TEXT[220:320], 40))), (3, swap(swap(swap(TEXT[20:120], 5), 6), 7))], "read_id long, seq string")
-    got = {r.read_id: tuple(r)[1:] for r in G.align(reads, targets).collect()}
-    assert got == {1: ("a", "+", 20, 0, "100M"), 2: ("b", "-", 70, 1, "40M1U59M")}
-
-
 def test_order_of_a_chain(spark):
     gaps = spark.createDataFrame([(1, 2, 10.0, 1.0, 0.1), (2, 3, 20.0, 1.0, 0.2), (7, 8, -5.0, 2.0, 0.0)], "u1 long, u2 long, gap double, sd double, score double")
     ordered = S.order(gaps)
