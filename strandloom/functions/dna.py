@@ -32,3 +32,8 @@ def windows(seq: Column, size: int) -> Column:
     """All windows of a size, in order; none where the sequence is shorter."""
     some = F.transform(F.sequence(F.lit(1), F.length(seq) - (size - 1)), lambda p: F.substring(seq, p, size))
     return F.when(F.length(seq) >= size, some).otherwise(F.array().cast("array<string>"))
+
+
+def letters(text: Column) -> Column:
+    """The characters of a text; none of an empty one. A split alone leaves an empty part at the end."""
+    return F.filter(F.split(text, "(?!^)"), lambda c: c != "")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.dna import revcomp
+from strandloom.functions.dna import letters, revcomp
 from strandloom.plans.iterative import groups
 from strandloom.plans.views import K
 
@@ -173,10 +173,15 @@ def flanks(pairs: DataFrame, allowed: int, step: int = STEP) -> DataFrame:
     return pairs.withColumn("n_diff", count("left_a", "left_b", "right_a", "right_b", "seed")).where("n_diff is not null").withColumn("consis_len", span - F.col("n_diff"))
 
 
-def flank_pairs(reads: DataFrame, k: int = K) -> DataFrame:
-    """(qid, rid, strand) of reads (read_id, seq) where the first k bases of rid stand in qid on a strand, with the flanks of that seed."""
-    at = _strands(reads).where(F.length("seq") > k).select(F.col("read_id").alias("qid"), "strand", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("p")).withColumn("seed", F.expr(f"substr(seq, p, {k})"))
+def flank_pairs(reads: DataFrame, k: int = K, queries: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(qid, rid, strand) where the first k bases of a read (read_id, seq) stand in a query (the reads too, if not given), with the flanks of that seed.
+
+    Queries and reads are told apart by read_id alone. Seeds that at least `most` reads begin with are repeats and left out, where that is given.
+    """
+    at = _strands(reads if queries is None else queries).where(F.length("seq") > k).select(F.col("read_id").alias("qid"), "strand", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("p")).withColumn("seed", F.expr(f"substr(seq, p, {k})"))
     first = reads.where(F.length("seq") > k).select(F.col("read_id").alias("rid"), F.substring("seq", 1, k).alias("seed"), F.expr(f"substr(seq, {k + 1})").alias("right_b"))
+    if most is not None:
+        first = first.join(first.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most), "seed", "left_anti")
     return at.join(first, "seed").where("qid <> rid").select("qid", "rid", "strand", "seed", F.expr("substr(seq, 1, p - 1)").alias("left_a"), F.lit("").alias("left_b"), F.expr(f"substr(seq, p + {k})").alias("right_a"), "right_b")
 
 
@@ -197,7 +202,7 @@ def extensions(pool: DataFrame, least: int = 2, share: float = 0.8) -> DataFrame
     Counts come before the strings, so an end holds a row a base of a read's length, however many reads reach it; support is
     the least number of agreeing reads. Ends without an agreed base have no row.
     """
-    votes = pool.select("id", "side", F.posexplode(F.split("ext", "(?!^)")).alias("p", "base")).groupBy("id", "side", "p", "base").agg(F.count(F.lit(1)).alias("n"))
+    votes = pool.select("id", "side", F.posexplode(letters(F.col("ext"))).alias("p", "base")).groupBy("id", "side", "p", "base").agg(F.count(F.lit(1)).alias("n"))
     top = votes.groupBy("id", "side", "p").agg(F.max(F.struct("n", "base")).alias("t"), F.sum("n").alias("all"))
     rows = top.groupBy("id", "side").agg(F.sort_array(F.collect_list(F.struct("p", F.col("t.base").alias("base"), F.col("t.n").alias("n"), ((F.col("t.n") >= least) & (F.col("t.n") >= share * F.col("all"))).alias("ok")))).alias("way"))
     first_bad = F.array_position(F.transform("way", lambda x: x["ok"]), F.lit(False))

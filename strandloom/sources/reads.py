@@ -44,24 +44,29 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str | None]]:
 def _parse(batches):
     import pyarrow as pa
 
-    schema = pa.schema([(c, pa.string()) for c in ("path", "name", "comment", "seq", "qual")])
+    schema = pa.schema([(c, pa.string()) for c in ("path", "name", "comment", "seq", "qual")] + [("num", pa.int64())])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
     for b in batches:
         for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
             raw = io.BytesIO(content)
             text = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, encoding="ascii", errors="replace")
             rows = []
-            for r in records(iter(text)):
-                rows.append((path, *r))
+            for num, r in enumerate(records(iter(text))):
+                rows.append((path, *r, num))
                 if len(rows) == 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
+                    yield made(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
+                yield made(rows)
 
 
-def read_fastx(spark: SparkSession, *paths: str) -> DataFrame:
-    """All records of FASTA or FASTQ files, gzipped or not; a file is one task, as gzip can't be split."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(_parse, SCHEMA)
+def read_fastx(spark: SparkSession, *paths: str, numbered: bool = False) -> DataFrame:
+    """All records of FASTA or FASTQ files, gzipped or not; a file is one task, as gzip can't be split.
+
+    Where asked for, num is a record's place in its file, from 0.
+    """
+    got = spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(_parse, SCHEMA + ", num long")
+    return got if numbered else got.drop("num")
 
 
 def parse_libraries(text: str) -> tuple[dict, list[dict]]:

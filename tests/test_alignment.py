@@ -108,6 +108,9 @@ def test_reads_reach_over_both_ends(spark):
     pool = A.flank_pool(reads, targets)
     assert {(r.side, r.read_id, r.ext) for r in pool.collect()} == {("r", 1, TEXT[200:210]), ("r", 2, TEXT[200:206]), ("r", 5, swap(TEXT[150:210], 55)[50:]), ("l", 3, rc(TEXT[92:100])), ("l", 4, rc(TEXT[90:100]))}
     assert {(r.side, r.ext, r.support) for r in A.extensions(pool).collect()} == {("r", TEXT[200:205], 3), ("l", rc(TEXT[92:100]), 2)}
+    # reads that end earlier have no say on what follows
+    (row,) = A.extensions(spark.createDataFrame([("x", "r", e) for e in ("ACGT", "ACGT", "AC", "AC", "A")], "id string, side string, ext string")).collect()
+    assert tuple(row) == ("x", "r", "ACGT", 2)
 
 
 def test_groups_of_mapped_reads(spark):
