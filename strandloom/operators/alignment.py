@@ -27,7 +27,7 @@ def places(reads: DataFrame, targets: DataFrame, step: int = STEP, k: int = K) -
     """(read_id, strand, seq, id, start) where a seed of k bases at every step-th base of a read, on either strand, meets a target."""
     seeds = _strands(reads).where(F.length("seq") >= k).select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(step))).alias("o")).withColumn("seed", F.expr(f"substr(seq, o + 1, {k})"))
     spots = targets.where(F.length("seq") >= k).select("id", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("p"), F.col("seq").alias("whole")).select("id", "p", F.expr(f"substr(whole, p + 1, {k})").alias("seed"))
-    return seeds.join(spots, "seed").select("read_id", "strand", "seq", "id", (F.col("p") - F.col("o")).alias("start")).distinct()
+    return seeds.join(spots.hint("merge"), "seed").select("read_id", "strand", "seq", "id", (F.col("p") - F.col("o")).alias("start")).distinct()
 
 
 def cigar(marks: Column) -> Column:

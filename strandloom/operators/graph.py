@@ -155,7 +155,8 @@ def read_paths(g: Graph, reads: DataFrame) -> DataFrame:
     both = reads.select("read_id", F.lit("+").alias("strand"), "seq").union(reads.select("read_id", F.lit("-"), revcomp(F.col("seq")))).where(F.length("seq") > g.k)
     at = both.select("read_id", "strand", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(1), F.length("seq") - g.k)).alias("p"), "seq").withColumn("kp1", F.expr(f"substr(seq, p, {g.k + 1})"))
     ids = g.segments.select(F.col("head").alias("root"), F.sha1(canonical(F.col("seq"))).alias("id"))
-    hits = at.drop("seq").join(g.ranks.join(ids, "root"), "kp1").groupBy("read_id", "strand", "len").agg(F.sort_array(F.collect_list(F.struct("p", "dist", "id"))).alias("way")).where(F.size("way") == F.col("len") - g.k)
+    # a table of K-mers compresses so well that its size on disk says little: never broadcast it
+    hits = at.drop("seq").join(g.ranks.join(ids, "root").hint("merge"), "kp1").groupBy("read_id", "strand", "len").agg(F.sort_array(F.collect_list(F.struct("p", "dist", "id"))).alias("way")).where(F.size("way") == F.col("len") - g.k)
     # a vertex begins where the read enters a segment: at its first base and wherever a segment's first edge is
     path = F.transform(F.filter("way", lambda x: (x["p"] == 1) | (x["dist"] == 0)), lambda x: x["id"])
     return hits.select("read_id", "strand", F.col("way")[0]["dist"].alias("start"), path.alias("path"), F.col("len").alias("map_len"))
