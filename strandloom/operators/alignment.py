@@ -41,7 +41,9 @@ def align(reads: DataFrame, targets: DataFrame, step: int = STEP, rate: float =
     At most `rate` of the bases may differ; ties go to the smaller id, place and strand. CIGAR letters: M equal, U different.
     """
     laid = places(reads, targets, step, k).where("start >= 0").join(targets.select("id", F.col("seq").alias("whole")), "id").where("start + length(seq) <= length(whole)")
-    marks = F.expr("array_join(transform(sequence(1, length(seq)), k -> if(substr(seq, k, 1) = substr(whole, start + k, 1), 'M', 'U')), '')")
+    # one cut per place: a look for each base would walk a long target each time
+    part = F.expr("substr(whole, start + 1, length(seq))")
+    marks = F.array_join(F.zip_with(letters(F.col("seq")), letters(part), lambda x, y: F.when(x == y, "M").otherwise("U")), "")
     scored = laid.withColumn("marks", marks).withColumn("mismatches", F.length(F.replace("marks", F.lit("M"), F.lit("")))).where(F.col("mismatches") <= rate * F.length("seq"))
     best = scored.groupBy("read_id").agg(F.min(F.struct("mismatches", "id", "start", "strand", "marks")).alias("b")).select("read_id", "b.*")
     return best.select("read_id", "id", "strand", "start", "mismatches", cigar(F.col("marks")).alias("cigar"))
