@@ -74,7 +74,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     strong = sorted((s, e) for _, s, e in found)
     idents = [m.span() for m in IDENT.finditer(text)] if pairs else []
-    if idents or pairs and found or "AKIA" in text:
+    if pairs or "AKIA" in text:
         found += _weak(text, found, strong, assigned, idents)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
