@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash of item-sized windows, multi-index Hamming blocks and exact verification.
 
 All steps are DataFrame operations. Words are runs of letters and digits in lower case; shingles are five words, or the
-whole item where it has fewer. A window of a document has as many words as the item it is held against.
+whole item where it has fewer. A window of a document has as many words as the item it is held against; a document with
+fewer is one window.
 
 1. Windows. A window that is similar to an item at all shares a shingle with it, so windows are taken where a shared
-   shingle aligns document and item; documents without a shared shingle go no further. The benchmark's shingles are a
+   shingle aligns document and item, moved inside the document where its start or end cuts the item off; documents without a shared shingle go no further. The benchmark's shingles are a
    literal set in the scan up to SET of them, and a semi-join beyond.
 2. Fingerprints. A window's and an item's 64-bit SimHash over shingle hashes; counts of bits are kept in 16 lanes.
 3. Multi-index. The fingerprint is cut into RADIUS + 1 blocks: fingerprints within the radius agree in one of them, so a
-   join on (words, block, bits) finds all such pairs of windows and items of equal length.
+   join on (words of the item, block, bits) finds all such pairs of windows and items.
 4. Verification. Shared shingles, each counted as often as both hold it, over the shingles of either: at least 0.8.
 
 A window at similarity 0.8 has about 10 differing bits, so the radius of 18 misses about one in a thousand of those;
@@ -84,7 +85,7 @@ def _blocks(fp: str) -> Column:
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, start, n_words, similarity) for each document and item with a window of at least the similarity.
 
-    start: the window's first word in the document, from 0.
+    start: the window's first word in the document, from 0; n_words: the window's words, fewer than the item's where the document has fewer.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -104,8 +105,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # the row number keeps the filter below from moving under this projection, where it would cut the words anew for each shingle
     rows = rows.select("id", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     # of m shingles of a similar window at most m (1 - s) / (1 + s) are not the item's, so some run of this many is: one look a run finds it
+    # (a window of a shorter document has one shingle less at the same loss, or loses less)
     lost = F.floor((F.col("n") - F.col("g") + 1) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
-    runs = {r.g: int(r.run) for r in items.groupBy("g").agg(F.min(F.ceil((F.col("n") - F.col("g") + 1 - lost) / (lost + 1))).alias("run")).collect()}
+    runs = {r.g: int(r.run) for r in items.groupBy("g").agg(F.min(F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("g") - lost) / (lost + 1)))).alias("run")).collect()}
     known = grams.select("g", "h").distinct()
     places = lambda g: F.when(F.size("w") >= g, F.sequence(F.lit(1), F.size("w") - (g - 1), F.lit(runs[g]))).otherwise(F.array().cast("array<int>"))
     if known.count() <= SET:
@@ -121,33 +123,34 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             held = hit if held is None else held.unionByName(hit)
         rows = rows.alias("r").join(held.distinct().alias("k"), (F.col("r.key") == F.col("k.key")) & F.col("r.id").eqNullSafe(F.col("k.id")), "left_semi")
     near = stored(rows, "bench-hits").dropDuplicates(["id", "key"])
-    near = stored(near.select("id", "key", *[shingles(F.col("w"), g).alias(f"h{g}") for g in sizes]), "bench-near")
+    near = stored(near.select("id", "key", F.size("w").alias("len"), *[shingles(F.col("w"), g).alias(f"h{g}") for g in sizes]), "bench-near")
 
     spots = None
     for g in sizes:
-        own = near.select("id", "key", F.posexplode(f"h{g}").alias("pos", "h")).withColumn("g", F.lit(g))
+        own = near.select("id", "key", "len", F.posexplode(f"h{g}").alias("pos", "h")).withColumn("g", F.lit(g))
         spots = own if spots is None else spots.unionByName(own)
-    starts = spots.join(grams.select("g", "h", "at", "n").distinct(), ["g", "h"]).select("id", "key", "g", "n", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0").distinct()
+    inside = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("len") - F.col("n")))
+    starts = spots.join(grams.select("g", "h", "at", "n").distinct(), ["g", "h"]).select("id", "key", "g", "n", inside.alias("start")).distinct()
     part = F.lit(None).cast("array<long>")
     for g in sizes:
         part = F.when(F.col("g") == g, F.slice(F.col(f"h{g}"), F.col("start") + 1, F.col("n") - g + 1)).otherwise(part)
     windows = starts.alias("s").join(near.alias("d"), (F.col("s.key") == F.col("d.key")) & F.col("s.id").eqNullSafe(F.col("d.id")))
-    windows = windows.select("s.id", "s.key", "g", "n", "start", part.alias("hashes")).where(F.size("hashes") == F.col("n") - F.col("g") + 1)
+    windows = windows.select("s.id", "s.key", "g", "n", "start", part.alias("hashes")).where(F.size("hashes") >= SIMILARITY * (F.col("n") - F.col("g") + 1) - 1e-9)
     windows = stored(windows, "bench-windows")
 
     keys = ["id", "key", "n", "start"]
     window_fp = _simhash(windows.select(*keys, F.explode("hashes").alias("h")), keys)
     item_fp = _simhash(grams.select("row", "n", "h"), ["row", "n"])
-    pairs = window_fp.select(*keys, "m", "fp", _blocks("fp")).join(item_fp.select("row", "n", F.col("fp").alias("item_fp"), _blocks("fp")), ["n", "block", "bits"])
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*keys, "m", "row").distinct()
+    pairs = window_fp.select(*keys, "m", "fp", _blocks("fp")).join(item_fp.select("row", "n", F.col("m").alias("item_m"), F.col("fp").alias("item_fp"), _blocks("fp")), ["n", "block", "bits"])
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*keys, "m", "item_m", "row").distinct()
 
     in_window = windows.select(*keys, F.explode("hashes").alias("h")).groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("a"))
     in_item = grams.groupBy("row", "h").agg(F.count(F.lit(1)).alias("b"))
     same = (F.col("p.key") == F.col("w.key")) & F.col("p.id").eqNullSafe(F.col("w.id")) & (F.col("p.n") == F.col("w.n")) & (F.col("p.start") == F.col("w.start"))
-    shared = pairs.alias("p").join(in_window.alias("w"), same).select("p.id", "p.key", "p.n", "p.start", "m", "row", "h", "a").join(in_item, ["row", "h"])
-    scored = shared.groupBy("id", "key", "n", "start", "row", "m").agg(F.sum(F.least("a", "b")).alias("c"))
-    scored = scored.withColumn("similarity", F.col("c") / (2 * F.col("m") - F.col("c"))).where(F.col("similarity") >= SIMILARITY)
-    best = scored.groupBy("id", "key", "row").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("b"))
+    shared = pairs.alias("p").join(in_window.alias("w"), same).select("p.id", "p.key", "p.n", "p.start", "m", "item_m", "row", "h", "a").join(in_item, ["row", "h"])
+    scored = shared.groupBy("id", "key", "n", "start", "row", "m", "item_m").agg(F.sum(F.least("a", "b")).alias("c"))
+    scored = scored.withColumn("similarity", F.col("c") / (F.col("m") + F.col("item_m") - F.col("c"))).where(F.col("similarity") >= SIMILARITY)
+    best = scored.groupBy("id", "key", "row").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (F.col("m") + F.least("n", F.lit(WORDS)) - 1).cast("int").alias("n"))).alias("b"))
     return best.join(items.select("row", "item"), "row").select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 

@@ -71,6 +71,42 @@ def test_equals_brute_force(spark):
         M.SET = before
 
 
+def brute_short(docs, items):
+    """As brute, and a document with fewer words than the item is one window."""
+    out = brute(docs, items)
+    for d, t in docs:
+        w = toks(t)
+        for i, b in items:
+            v = toks(b)
+            g = min(5, len(v))
+            if g <= len(w) < len(v):
+                a, x = grams(v), Counter(tuple(w[k : k + g]) for k in range(len(w) - g + 1))
+                sim = sum((a & x).values()) / sum((a | x).values())
+                if sim >= 0.8:
+                    out.add((d, i, 0, len(w), round(sim, 9)))
+    return out
+
+
+def test_items_cut_off_at_the_ends_of_a_document(spark):
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(400)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, " ".join(say(n))) for k, n in enumerate([12, 16, 20, 24, 24, 30, 40, 60])]
+    docs = []
+    for _, t in items:
+        v = t.split()
+        for cut in (1, 2, 4):
+            for more in (0, 1, 7, 50):
+                docs += [v[cut:] + say(more), say(more) + v[:-cut]]
+        docs.append(v[1:-1])
+    docs = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_short(docs, items)
+    assert len(want) > len(items) * 4 and any(n < len(toks(dict(items)[i])) for _, i, _, n, _ in want)
+    assert {(r.doc_id, r.item_id, r.start, r.n_words, round(r.similarity, 9)) for r in M.find(frame, bench).collect()} == want
+    assert {r.doc_id for r in M.clean(frame, bench).collect()} == {d for d, _ in docs} - {w[0] for w in want}
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert M.find(docs.limit(0), bench).collect() == [] == M.find(docs, bench.limit(0)).collect()
