@@ -5,22 +5,32 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows in one Arrow batch between the JVM and Python; bounds a batch even where texts are long.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch between the JVM and Python; a batch ends at whichever comes first.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: Work folders that shared_dir has named in this process.
+_made: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets local Python workers import this package and bounds Arrow batches. On a cluster the package is shipped with --py-files."""
+    """Lets local Python workers import this package and bounds Arrow batches. On a cluster the package is shipped with --py-files.
+
+    Frames of the operators are lazy, so the bounds stay in the session's settings; a smaller one that is set already holds.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -38,7 +48,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(got)
             got = spark.sparkContext.getCheckpointDir() or got
         base = got
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all work folders of this process, once no frame of an operator is needed any more; returns their number."""
+    n = len(_made)
+    while _made:
+        remove(spark, _made.pop())
+    return n
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, stored, with a number of their own in a column whose name no other column has, and that name."""
+    number = "row_number_of_copy"
+    while number.lower() in map(str.lower, docs.columns):
+        number += "_"
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), name), number
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -49,6 +76,38 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _picked(batches, number, folder, keep):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = file_system(folder)
+    part, listed = None, np.zeros(0, np.int64)
+    for b in batches:
+        rows = b.column(b.schema.get_field_index(number)).to_numpy()
+        hit = np.zeros(len(rows), bool)
+        for p in np.unique(rows >> 33).tolist():
+            if p != part:
+                names = store.get_file_info(fs.FileSelector(f"{path}/part={p}", allow_not_found=True))
+                files = [f.path for f in names if f.path.endswith(".parquet")]
+                part, listed = p, np.concatenate([np.zeros(0, np.int64), *(pq.read_table(f, columns=["listed"], filesystem=store, partitioning=None)["listed"].to_numpy() for f in files)])
+            hit |= np.isin(rows, listed)
+        yield b.filter(pa.array(hit == keep, pa.bool_()))
+
+
+def picked(docs: DataFrame, number: str, listed: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of a numbered table that a list of numbers (its only column) names, or all others.
+
+    The list is cut by the partition that wrote a row (the number's upper bits), and a task over a file of the table reads
+    the part for that file: the wide rows of the table never cross a shuffle, whatever the length of the list.
+    """
+    folder = shared_dir(docs.sparkSession, "picked")
+    listed = listed.select(F.col(listed.columns[0]).alias("listed"), F.shiftright(listed.columns[0], 33).alias("part"))
+    listed.repartition("part").write.partitionBy("part").parquet(folder)
+    return docs.mapInArrow(partial(_picked, number=number, folder=folder, keep=keep), docs.schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store."""
     jvm = spark.sparkContext._jvm

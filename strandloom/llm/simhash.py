@@ -14,9 +14,9 @@ Hot cells (thousands of near copies) are cut into tiles and each pair of tiles i
 a spanning forest of its links, never the pairs. So memory and output are bounded by the tile, not by the group.
 
 Defined results: a null or empty text, or one without a word, has fingerprint zero and is linked like any other; fewer
-words than a shingle give the whole sequence as one; repeated rows and ids give a row each; rows with a null id get a
-null component unless a document with an id shares it, and then that one's; an empty table gives an empty one; other
-columns, whatever their names, are not read.
+words than a shingle give the whole sequence as one; repeated rows and ids give a row each; rows with a null id get the
+smallest id that they reach, null where no document of the component has one; an empty table gives an empty one; other
+columns, whatever their names, are not read (`deduplicated` passes them on).
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import prepare, stored, text_or_empty
+from strandloom.llm.common import numbered, picked, prepare, stored, text_or_empty
 from strandloom.llm.graph import components
+from strandloom.llm.similar import groups, verified
 
 #: References of the pivot table, fingerprints of a tile, seed of the shingle hash.
 PIVOTS, TILE, SEED = 32, 2048, 42
@@ -66,6 +67,12 @@ def _fingerprints(batches, words):
         yield pa.RecordBatch.from_arrays([b["id"], pa.array(got, pa.int64())], names=["id", "fp"])
 
 
+def _keyed(batches, words):
+    for b in batches:
+        got = np.array([fingerprint(t, words) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b["id"], b["own"], b["key"], pa.array(got, pa.int64())], names=["row", "id", "key", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp) with the 64 bits as a signed long."""
     prepare(docs.sparkSession)
@@ -97,7 +104,8 @@ def _links(fps: np.ndarray, other: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    root = list(range(n))
+    """Those of the pairs that join what no pair before has joined."""
+    root, out = list(range(n)), []
 
     def find(x):
         while root[x] != x:
@@ -105,11 +113,12 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    for a, b in pairs.tolist():
-        a, b = find(a), find(b)
+    for i, j in pairs.tolist():
+        a, b = find(i), find(j)
         if a != b:
             root[max(a, b)] = min(a, b)
-    return [(i, r) for i in range(n) if (r := find(i)) != i]
+            out.append((i, j))
+    return out
 
 
 def _cells(batches, radius):
@@ -127,14 +136,14 @@ def _cells(batches, radius):
                 left, right = np.nonzero(side == ta)[0], np.nonzero(side == tb)[0]
                 pairs = _links(fps[left], fps[right], radius)
                 pairs = np.stack([left[pairs[:, 0]], right[pairs[:, 1]]], axis=1)
-            out += [(reps[i], reps[r]) for i, r in _forest(len(reps), pairs)]
+            out += [(reps[i], reps[j]) for i, j in _forest(len(reps), pairs)]
         if out:
             u, v = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Links (u, v) that connect all fingerprints within the radius. distinct: (fp, rep), each fingerprint once."""
+    """Links (u, v) between rows (fp, rep) within the radius that connect all such rows; each rep once."""
     blocks = radius + 2
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in range(blocks)]
@@ -143,7 +152,7 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     rows = distinct.select("fp", "rep", F.inline(F.array(*keys)))
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(sizes, ["t", "key"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("tile")).alias("a"), F.greatest(o, F.col("tile")).alias("b")))
     units = rows.select("t", "key", "fp", "rep", "tile", F.inline(pairs))
     units = units.groupBy("t", "key", "a", "b").agg(F.collect_list(F.struct("fp", "rep", "tile")).alias("members"))
@@ -154,17 +163,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) of every row; component_id is the smallest id in reach, the row's own included."""
     prepare(docs.sparkSession)
     fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct-fingerprints")
-    # without an id there is no name for a class: such classes link by a stand-in that loses to every id
-    named = distinct.withColumn("rep", F.coalesce("rep", F.lit((1 << 62)) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))))
-    found = components(links(named, radius))
-    classes = named.join(found, named["rep"] == found["node"], "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    classes = classes.withColumn("component_id", F.when(F.col("component_id") < 1 << 62, F.col("component_id")))
-    return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The documents, with all their columns, that have the smallest id of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
-    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("gone")).distinct(), "near-duplicates")
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    # classes go by their fingerprints; ids only name a component in the end, so any id will do, and none
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    rooted = stored(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component_id", "fp").alias("root")), "fingerprint-roots")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3) -> DataFrame:
+    """The documents, with all their columns, one of each group of near copies.
+
+    Near copies are equal texts (null as empty) and texts whose five-word shingles have a similarity of at least 0.8; a
+    group is what such links connect. The pivot tables find links, which are verified; `similar.groups` takes the verified
+    ones and completes them, since at the similarity two fingerprints often differ in more bits than the radius. Of a
+    group the smallest id stays, null being the largest, and of equal ids the first row. Rows are told apart by a number
+    of their own, so null and repeated ids do no harm.
+    """
+    prepare(docs.sparkSession)
+    docs, number = numbered(docs, "near-rows")
+    rows = docs.select(F.col(number).alias("row"), text_or_empty(text_col).alias("text"))
+    keys = docs.select(F.col(number).alias("id"), F.col(id_col).alias("own"), F.md5(text_or_empty(text_col).cast("binary")).alias("key"), text_or_empty(text_col).alias("text"))
+    kind = dict(keys.dtypes)["own"]
+    keyed = stored(keys.mapInArrow(partial(_keyed, words=words), f"row long, id {kind}, key string, fp long"), "near-keys")
+    texts = stored(keyed.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("rank"), F.first("fp").alias("fp")).select(F.col("rank.row").alias("row"), "rank", "fp"), "near-texts")
+    known = verified(rows, links(texts.select("fp", F.col("row").alias("rep")), radius))
+    roots = groups(rows, texts.select("row"), known)
+    kept = texts.join(roots, "row").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+    gone = keyed.select("row").join(kept, "row", "left_anti")
+    return picked(docs, number, gone, keep=False).drop(number)

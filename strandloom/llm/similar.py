@@ -1,16 +1,17 @@
-"""Near copies by exact similarity: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-An exact join by prefixes; no pair is lost. Let every document's shingles stand in one common order. Sets of m and n
+An exact join by prefixes; no group is lost. Let every text's shingles stand in one common order. Sets of m and n
 shingles at the similarity share at least 4/9 (m + n) of them, and so one among the first m - ceil(0.8 m) + 1 of the one
-and the same of the other. Rows meet on such shingles; a pair goes on if the sizes and the places of the shingle allow the
-similarity, and is then verified over the whole sets. Any common order is exact, so shingles that a sample of the rows
-holds often are put last: that only saves pairs.
+and the same of the other. Rows meet on such shingles, a cell each; a pair goes on if the sizes and the places of the
+shingle allow the similarity, and is then verified over the whole sets. Any common order is exact, so shingles that a
+sample of the rows holds often are put last: that only saves pairs.
 
-Rows that share a shingle of their prefixes stay quadratic in their number. Shingles are 64-bit hashes.
+A cell never makes all its pairs. First every row is held against the smallest row of each of its cells, which is linear
+and joins groups of copies, however large. Then only cells with rows of different components are looked at, and there
+only pairs of different components, of which one row is not of the cell's largest component.
 
-Defined results: words are those of op1's fingerprint; fewer words than a shingle give the whole sequence as one; a null
-or empty text, or one without a word, is similar to none; rows are told apart by a number, not by their id: of each
-component the smallest id stays, null being the largest, and of equal ids one row; an empty table gives an empty one.
+Shingles are 64-bit hashes of words cut as for op1's fingerprint; fewer words than a shingle give the whole sequence as
+one; a text without a word is similar to none.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import prepare, stored, text_or_empty
+from strandloom.llm.common import picked, prepare, stored
 from strandloom.llm.graph import components
 
 #: Words of a shingle, seed of the word hash, one of so many rows sampled, rows of the sample that make a shingle common, most such.
@@ -62,34 +63,59 @@ def _prefixes(batches, common):
         yield pa.RecordBatch.from_arrays([b["row"], pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["row", "n", "hashes"])
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(u, v) of all pairs of rows (row, text) at the similarity, each once."""
+def sets(rows: DataFrame) -> DataFrame:
+    """(row, hashes) of rows (row, text)."""
     prepare(rows.sparkSession)
-    sets = lambda df: df.mapInArrow(_sets, "row long, hashes array<long>")
+    return rows.select("row", "text").mapInArrow(_sets, "row long, hashes array<long>")
+
+
+def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (u, v) of rows (row, text), numbered and stored, that are at the similarity."""
+    pairs = stored(pairs.select("u", "v").distinct(), "similar-pairs")
+    ends = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
+    whole = stored(sets(picked(rows, "row", ends)), "similar-sets")
+    for s in "uv":
+        pairs = pairs.join(whole.select(F.col("row").alias(s), F.col("hashes").alias(f"set_{s}")), s)
+    shared = F.size(F.array_intersect("set_u", "set_v"))
+    alike = (shared > 0) & (9 * shared >= 4 * (F.size("set_u") + F.size("set_v")))
+    return stored(pairs.where(alike).select("u", "v"), "similar-links")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """(row, n, at, h): the shingles by which a row meets others, their places and the size of the row's set."""
     held = sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)).select(F.explode("hashes").alias("h")).groupBy("h").count()
     common = [r.h for r in held.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).collect()]
-    prefixes = rows.mapInArrow(partial(_prefixes, common=common), "row long, n int, hashes array<long>")
-    spots = stored(prefixes.select("row", "n", F.posexplode("hashes").alias("at", "h")), "similar-prefixes")
-    a, b = (spots.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at")]) for s in "ab")
-    most = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    pairs = a.join(b, "h").where("row_a < row_b").where(9 * most >= 4 * (F.col("n_a") + F.col("n_b")))
-    pairs = stored(pairs.select("row_a", "row_b").distinct(), "similar-pairs")
-    ends = pairs.select(F.col("row_a").alias("row")).unionByName(pairs.select(F.col("row_b").alias("row"))).distinct()
-    whole = stored(sets(rows.join(ends, "row", "left_semi")), "similar-sets")
-    for s in "ab":
-        pairs = pairs.join(whole.select(F.col("row").alias(f"row_{s}"), F.col("hashes").alias(s)), f"row_{s}")
-    shared = F.size(F.array_intersect("a", "b"))
-    return pairs.where(9 * shared >= 4 * (F.size("a") + F.size("b"))).select(F.col("row_a").alias("u"), F.col("row_b").alias("v"))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without all but the first of each component of similar ones."""
-    number = "row_number_of_similar"
-    docs = stored(docs.withColumn(number, F.monotonically_increasing_id()), "similar-rows")
-    found = components(links(docs.select(F.col(number).alias("row"), text_or_empty(text_col).alias("text"))))
-    ids = docs.select(F.col(number).alias("node"), F.col(id_col).alias("id"))
-    rank = lambda: F.struct(F.col("id").isNull().alias("null"), "id", "node")
-    named = stored(ids.join(found, "node").select("component_id", rank().alias("rank")), "similar-components")
-    first = named.groupBy("component_id").agg(F.min("rank").alias("first"))
-    gone = named.join(first, "component_id").where("rank.node <> first.node").select(F.col("rank.node").alias(number))
-    return docs.join(gone, number, "left_anti").drop(number)
+    found = rows.select("row", "text").mapInArrow(partial(_prefixes, common=common), "row long, n int, hashes array<long>")
+    return stored(found.select("row", "n", F.posexplode("hashes").alias("at", "h")), "similar-prefixes")
+
+
+def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+    return 9 * (1 + F.least(n_a - at_a - 1, n_b - at_b - 1)) >= 4 * (n_a + n_b)
+
+
+def groups(rows: DataFrame, only: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(row, root) of rows (row, text), numbered and stored: equal roots for rows that links at the similarity connect.
+
+    only: (row), the rows to take, if not all. known: links (u, v) at the similarity that were found before; they only save work.
+    """
+    only = rows.select("row") if only is None else only
+    spots = prefixes(rows)
+    spots = stored(spots.join(only, "row", "left_semi"), "similar-spots")
+    cells = spots.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("row", "n", "at")).alias("p")).where("members > 1").select("h", "p")
+    star = spots.join(cells, "h").where(F.col("row") > F.col("p.row")).where(_possible(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at")))
+    links = verified(rows, star.select(F.col("p.row").alias("u"), F.col("row").alias("v")))
+    links = links if known is None else links.unionByName(known.select("u", "v"))
+    joined = components(links)
+
+    spots = spots.join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").withColumn("root", F.coalesce("component_id", "row"))
+    by_root = spots.groupBy("h", "root").agg(F.count(F.lit(1)).alias("members"))
+    mixed = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("members", "root"))["root"].alias("largest")).where("roots > 1").select("h", "largest")
+    spots = stored(spots.join(mixed, "h").select("h", "row", "n", "at", "root", "largest"), "similar-mixed")
+    a, b = (spots.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "root", "largest")]) for s in "ab")
+    a = a.where("root_a <> largest_a")
+    fresh = (F.col("root_b") == F.col("largest_b")) | (F.col("row_a") < F.col("row_b"))
+    pairs = a.join(b, "h").where("root_a <> root_b").where(fresh & _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    more = verified(rows, pairs.select(F.least("row_a", "row_b").alias("u"), F.greatest("row_a", "row_b").alias("v")))
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
+    return only.join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").select("row", F.coalesce("component_id", "row").alias("root"))

@@ -83,3 +83,19 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "alone here it is")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in M.near_duplicates(docs).collect()) == [(0, 0), (0, 4), (4, 4), (4, 4)]
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_of_any_size_name_components(spark):
+    top = (1 << 62) + 5
+    rows = [(top, "a b c d"), (top + 2, "a b c d"), (-(1 << 63), "lone words are here"), (None, "no id at all"), (None, "no id at all"), ((1 << 63) - 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in M.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(top, top), (top + 2, top), (-(1 << 63), -(1 << 63)), (None, None), (None, None), ((1 << 63) - 1, (1 << 63) - 1)], key=str)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in M.near_duplicates(docs).collect()}
+    assert got == brute_components([(1, text), (2, text + " end"), (3, "short")]) and got[2][1] == 1

@@ -1,8 +1,11 @@
 import random
 from itertools import combinations
 
-import corpus_pipeline as P
+import pytest
+
 from strandloom.llm import similar as M
+from strandloom.llm.common import clear, numbered, picked, stored
+from strandloom.llm.simhash import deduplicated
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,31 +36,67 @@ def sample(seed=5):
     return list(enumerate(texts))
 
 
-def test_links_equal_brute_force(spark):
-    rows, want = sample(), brute_links(sample())
-    frame = spark.createDataFrame(rows, "row long, text string")
-    assert len(want) > 20 and {(r.u, r.v) for r in M.links(frame).collect()} == want
+def brute_groups(rows):
+    """The smallest row in reach of each."""
+    root, links = {i: i for i, _ in rows}, brute_links(rows)
+    while changed := {(a, b) for a, b in links if root[a] != root[b]}:
+        for a, b in changed:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_groups_equal_brute_force(spark):
+    rows = sample()
+    frame = stored(spark.createDataFrame(rows, "row long, text string"), "t")
+    want = brute_groups(rows)
+    assert len(set(want.values())) < len(rows) - 15
+    assert {r.row: r.root for r in M.groups(frame).collect()} == want
     before, M.SAMPLE, M.OFTEN = (M.SAMPLE, M.OFTEN), 1, 2
     try:
-        assert {(r.u, r.v) for r in M.links(frame).collect()} == want
+        assert {r.row: r.root for r in M.groups(frame).collect()} == want
     finally:
         M.SAMPLE, M.OFTEN = before
 
 
+def test_chains_need_more_than_the_smallest_row_of_a_cell(spark):
+    """Each text is similar to the next only; shuffled numbers keep the chain from being a star."""
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 300, 6)] + [" ".join(rng.sample(words, 100)) for _ in range(20)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = list(zip(order, texts, strict=True))
+    assert {r.row: r.root for r in M.groups(stored(spark.createDataFrame(rows, "row long, text string"), "t")).collect()} == brute_groups(rows)
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_picked_rows(spark, keep):
+    docs, number = numbered(spark.range(1000).selectExpr("id", "concat('t', id) AS Row_Number_Of_Copy").repartition(7), "t")
+    assert number == "row_number_of_copy_"
+    some = docs.where("id % 3 = 0 AND id > 500").select(number)
+    want = {i for i in range(1000) if (i % 3 == 0 and i > 500) == keep}
+    assert {r.id for r in picked(docs, number, some, keep).collect()} == want
+    assert picked(docs, number, some.limit(0), keep).count() == (0 if keep else 1000)
+
+
 def test_null_and_repeated_ids(spark):
     near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     rows = [(None, near), (7, near), (7, near), (3, "other words that stand alone"), (None, "a text without copies"), (None, None), (None, ""), (9, near + " end")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id or 0, r.text) for r in M.deduplicated(docs).collect()), key=str)
-    assert got == sorted([(7, near), (3, "other words that stand alone"), (0, "a text without copies"), (0, None), (0, "")], key=str)
-    assert M.deduplicated(docs.limit(0)).collect() == []
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, row int, key string")
+    kept = deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(7, near), (3, "other words that stand alone"), (0, "a text without copies"), (0, "")], key=str)
+    assert deduplicated(docs.limit(0)).collect() == []
 
 
-def test_no_near_copies_leave_the_stage(spark):
+def test_one_of_each_group_stays(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    stage = dict(P.STAGES)["near_dedup"]
-    kept = stage(spark, docs, SF)
-    rows = [(r.doc_id, r.text) for r in kept.collect()]
-    assert kept.columns == docs.columns and not brute_links(rows)
-    first = [(r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF).collect()]
-    assert brute_links(first) and {i for i, _ in first} - {i for i, _ in rows} == {b for _, b in brute_links(first)}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in deduplicated(docs).collect()}
+    root = brute_groups(rows)
+    first = {}
+    for i, t in rows:
+        first.setdefault(t or "", i)
+    assert kept == {i for i, t in rows if root[i] == i and first[t or ""] == i}
+    assert clear(spark) > 0
