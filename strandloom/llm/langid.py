@@ -7,7 +7,11 @@ score is its share among all learned languages.
 
 Fitting: expected piece counts of each language under the equal-probability model (forward and backward pass over each
 distinct word), normalised with a small addend. The fit takes about TRAIN_DOCS labelled rows, drawn by a hash of id
-and text so that every row is as likely; prediction reads every row whole.
+and text so that every row is as likely; prediction reads every row whole. Pieces and words of any length take part in
+both, so that languages without blanks, whose words are whole sentences, are learned like others. A word's cost grows
+with its length, its memory with one place of it (a fit's with all).
+
+The model is a file of the shared folder, vocabulary x languages x 4 bytes, that a worker loads whole.
 
 Defined results: text that is null or without a letter gets "und" and score 0, as does every row when nothing could be
 learned; ties go to the language that sorts first; repeated rows and null ids give a row each; an empty table gives an
@@ -17,6 +21,7 @@ empty one; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import base64
+import json
 from collections import Counter, defaultdict
 from functools import lru_cache, partial
 
@@ -25,23 +30,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import prepare, text_or_empty
+from strandloom.llm.common import prepare, read_bytes, shared_dir, text_or_empty, write_bytes
 
-#: Labelled rows of a fit; bytes of the longest piece and of a word's part; words a worker remembers; addend of a piece.
-TRAIN_DOCS, PIECE, WORD, WORDS, ADDEND = 20_000, 12, 240, 200_000, 0.05
-#: Languages that a model can hold, so that vocabulary x languages bounds what is sent to workers.
-LANGUAGES = 500
+#: Labelled rows of a fit; addend of a piece; cells (words x bytes) of a batch of words; bytes up to which words of a batch have equal lengths.
+TRAIN_DOCS, ADDEND, CELLS, SHORT = 20_000, 0.05, 1 << 18, 32
+#: Least score of a text whose language counts as told.
+LEAST = 0.5
+#: Scores (words x languages) that a worker remembers.
+KNOWN = 1 << 20
 SLOTS = 1 << 20
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Pieces:
-    """Vocabulary pieces behind an open-addressing table of 64-bit hashes; piece 0 is none."""
+    """All pieces of a vocabulary behind an open-addressing table of 64-bit hashes; piece 0 is none."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            pieces = sorted({p for line in f if len(p := base64.b64decode(line.split()[0])) <= PIECE})
-        self.size = len(pieces) + 1
+            pieces = sorted({base64.b64decode(line.split()[0]) for line in f} - {b""})
+        self.size, self.lengths = len(pieces) + 1, sorted({len(p) for p in pieces})
         hashes = []
         for p in pieces:
             h = 0
@@ -71,17 +78,31 @@ class Pieces:
             todo = todo[~hit & (self.id[at] != 0)]
         return out
 
-    def spans(self, words: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece of each (start, length) over words of equal length, where any word has one."""
-        text = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
-        out, n = {}, text.shape[1]
+    def spans(self, words: list[bytes]):
+        """Every piece in words of ascending lengths: its place, word, length and number, in order of place.
+
+        Also where the pieces of each place begin among them. A piece of one word never reaches into another.
+        """
+        sizes = np.array([len(w) for w in words])
+        n = int(sizes[-1])
+        text = np.frombuffer(b"".join(w.ljust(n, b"\0") for w in words), np.uint8).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+        ahead = np.zeros((n + 1, len(words)), np.uint64)  # hash of each prefix
         for j in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for k in range(1, min(PIECE, n - j) + 1):
-                h = h * BASE + text[:, j + k - 1]
-                if (found := self.find(h)).any():
-                    out[j, k] = found
-        return out
+            ahead[j + 1] = ahead[j] * BASE + text[j]
+        out, power, done = [], 1, 0
+        for k in self.lengths:
+            if k > n:
+                break
+            power, done = power * pow(int(BASE), k - done, 1 << 64) % (1 << 64), k
+            found = self.find((ahead[k:] - ahead[:-k] * np.uint64(power)).ravel()).reshape(n + 1 - k, len(words))
+            j, w = np.nonzero(found)
+            inside = j + k <= sizes[w]
+            j, w = j[inside], w[inside]
+            out.append((j, w, np.full(len(j), k), found[j, w]))
+        j, w, k, piece = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(j, kind="stable")
+        j = j[order]
+        return j, w[order], k[order], piece[order], np.searchsorted(j, np.arange(n + 1)), sizes
 
 
 @lru_cache(maxsize=2)
@@ -89,75 +110,75 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _by_length(words: list[str]) -> dict[int, tuple[list[int], list[bytes]]]:
-    """Words with the blank that leads them, in parts of WORD bytes, by length: positions and bytes."""
-    out: dict = defaultdict(lambda: ([], []))
-    for i, w in enumerate(words):
-        raw = b" " + w.encode()
-        for k in range(0, len(raw), WORD):
-            part = raw[k : k + WORD]
-            out[len(part)][0].append(i)
-            out[len(part)][1].append(part)
-    return out
-
-
-def _forward(spans: dict, n: int, count: int, prob: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sums over the segmentations of every prefix, scaled, and the log of the scale."""
-    ahead = [np.zeros((count, prob.shape[1])) for _ in range(n + 1)]
-    ahead[0][:] = 1
-    scale = np.zeros(count)
-    for j in range(n):
-        if j and j % 8 == 0:  # keeps long products above zero; only sums that can still be reached are scaled
-            low = np.maximum.reduce([a.max(axis=1) for a in ahead[j : j + PIECE]])
+def _batches(words: list[str]):
+    """Positions and bytes, the blank that leads a word included, of words in batches of like lengths."""
+    raw = [b" " + w.encode() for w in words]
+    order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+    at = 0
+    while at < len(order):
+        first, end = len(raw[order[at]]), at
+        while end < len(order) and (n := len(raw[order[end]])) * (end - at + 1) <= max(CELLS, n) and (n == first if first <= SHORT else n <= 2 * first):
+            end += 1
+        yield order[at:end], [raw[i] for i in order[at:end]]
+        at = end
+
+
+def _forward(spans, prob: np.ndarray, longest: int, log_all: bool = False):
+    """Log of the sum over the segmentations of each word, by language; with log_all also of each prefix.
+
+    Sums are kept for as many places as a piece can reach; now and then each word's are scaled to keep them above zero.
+    """
+    j, w, k, piece, starts, sizes = spans
+    n, ring = int(sizes[-1]), min(longest, int(sizes[-1])) + 1
+    sums = np.zeros((ring, len(sizes), prob.shape[1]))
+    sums[0] = 1
+    scale, out = np.zeros(len(sizes)), np.full((len(sizes), prob.shape[1]), -np.inf)
+    logs = np.full((n + 1, len(sizes)), -np.inf) if log_all else None
+    ends = np.searchsorted(sizes, np.arange(n + 2))  # words of j bytes: ends[j] to ends[j + 1]
+    for at in range(n + 1):
+        here = sums[at % ring]
+        if at and at % 8 == 0:
+            low = sums.max(axis=(0, 2))
             low[low == 0] = 1
-            for a in ahead[j : j + PIECE]:
-                a /= low[:, None]
+            sums /= low[:, None]
             scale += np.log(low)
-        for k in range(1, min(PIECE, n - j) + 1):
-            if (found := spans.get((j, k))) is not None:
-                ahead[j + k] += ahead[j] * prob[found]
-    return ahead, scale
+        with np.errstate(divide="ignore"):
+            if log_all:
+                logs[at] = np.log(here[:, 0]) + scale
+            if ends[at] < ends[at + 1]:
+                done = slice(ends[at], ends[at + 1])
+                out[done] = np.log(here[done]) + scale[done, None]
+        if at < n:
+            x = slice(starts[at], starts[at + 1])
+            sums[(at + k[x]) % ring, w[x]] += here[w[x]] * prob[piece[x]]
+        here[:] = 0  # the place that lies a ring further on
+    return out, logs
 
 
 def word_scores(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language. prob: pieces x languages, row 0 all zero."""
     out = np.zeros((len(words), prob.shape[1]))
-    for n, (where, raw) in _by_length(words).items():
-        for k in range(0, len(raw), 4096):
-            part = raw[k : k + 4096]
-            ahead, scale = _forward(pieces.spans(part), n, len(part), prob)
-            np.add.at(out, where[k : k + 4096], np.log(np.maximum(ahead[n], 1e-300)) + scale[:, None])
+    for where, raw in _batches(words):
+        out[where] = _forward(pieces.spans(raw), prob, pieces.lengths[-1])[0]
     return out
 
 
 def expected_counts(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected piece counts of each language under equal probabilities. counts: words x languages."""
     prob = np.full((pieces.size, 1), 1 / pieces.size)
-    prob[0] = 0
     out = np.zeros((pieces.size, counts.shape[1]))
-    for n, (where, raw) in _by_length(words).items():
-        if n > 40:  # over 40 bytes it is no word of a language
-            continue
-        for at in range(0, len(raw), 4096):
-            part = raw[at : at + 4096]
-            spans = pieces.spans(part)
-            ahead = [np.zeros(len(part)) for _ in range(n + 1)]
-            behind = [np.zeros(len(part)) for _ in range(n + 1)]
-            ahead[0][:], behind[n][:] = 1, 1
-            for j in range(n):
-                for k in range(1, min(PIECE, n - j) + 1):
-                    if (j, k) in spans:
-                        ahead[j + k] += ahead[j] * prob[spans[j, k], 0]
-            for j in range(n - 1, -1, -1):
-                for k in range(1, min(PIECE, n - j) + 1):
-                    if (j, k) in spans:
-                        behind[j] += behind[j + k] * prob[spans[j, k], 0]
-            weight = counts[where[at : at + 4096]]
-            for (j, k), found in spans.items():
-                share = ahead[j] * behind[j + k] * prob[found, 0] / ahead[n]
-                for lang in range(counts.shape[1]):
-                    out[:, lang] += np.bincount(found, share * weight[:, lang], pieces.size)
-    out[0] = 0
+    for where, raw in _batches(words):
+        j, w, k, piece, starts, sizes = spans = pieces.spans(raw)
+        total, ahead = _forward(spans, prob, pieces.lengths[-1], True)
+        # the sums behind a place are those ahead of it in the reversed word
+        turned = sizes[w] - j - k
+        order = np.argsort(turned, kind="stable")
+        back = (turned[order], w[order], k[order], piece[order], np.searchsorted(turned[order], np.arange(sizes[-1] + 1)), sizes)
+        behind = _forward(back, prob, pieces.lengths[-1], True)[1]
+        share = np.exp(ahead[j, w] + behind[sizes[w] - j - k, w] - np.log(pieces.size) - total[w, 0])
+        weight = counts[where]
+        for lang in range(counts.shape[1]):
+            out[:, lang] += np.bincount(piece, share * weight[w, lang], pieces.size)
     return out
 
 
@@ -191,8 +212,6 @@ def fit(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text_
         rows = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(1 << 40)) < int((1 << 40) * train_docs / n))
     got = rows.select("text", "lang").mapInArrow(partial(_fit_part, path=path), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(got["lang"]))
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; a model holds {LANGUAGES}")
     prob = np.zeros((pieces_of(path).size, len(langs)))
     prob[got["piece"].to_numpy(int), [langs.index(x) for x in got["lang"]]] = got["n"]
     prob += ADDEND
@@ -216,12 +235,15 @@ class _Known(dict):
 class _Predictor:
     """Remembers the scores of the first words it meets, which are the frequent ones; later ones are scored anew."""
 
-    def __init__(self, path: str, model):
-        self.langs, self.prob = model
+    def __init__(self, path: str, model: str):
+        self.langs, self.prob = _loaded(model)
+        self.most = KNOWN // (len(self.langs) or 1)
         self.pieces, self.known, self.table = pieces_of(path), _Known(), np.zeros((0, len(self.langs)))
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, known = self.langs, self.known
+        if not langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         split = [t.lower().split() for t in texts]
         flat = [w for words in split for w in words]
         rows = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
@@ -231,51 +253,78 @@ class _Predictor:
         total = np.zeros((len(texts), len(langs)))
         sizes = np.array([len(x) for x in split], int)
         full, starts = sizes > 0, np.cumsum(sizes) - sizes
-        if len(flat) and langs:
+        if len(flat):
             total[full] = np.add.reduceat(self.table[rows], starts[full], axis=0)
         pred, score = [], []
         for t, row in zip(texts, total, strict=True):
-            if not langs or not any(map(str.isalpha, t)):
+            if not any(map(str.isalpha, t)):
                 pred.append("und")
                 score.append(0.0)
             else:
                 k = int(row.argmax())
                 pred.append(langs[k])
                 score.append(float(1 / np.exp(row - row[k]).sum()))
-        if len(known) > WORDS:
-            for w in list(known)[WORDS:]:
+        if len(known) > self.most:
+            for w in list(known)[self.most :]:
                 del known[w]
-            self.table = self.table[:WORDS]
+            self.table = self.table[: self.most]
         return pred, score
 
 
+def _saved(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> str:
+    """A model as a file of the shared folder: vocabulary x languages x 4 bytes, whatever the number of languages."""
+    folder = shared_dir(docs.sparkSession, "langid-model")
+    langs, prob = model
+    write_bytes(f"{folder}/model", [json.dumps(langs).encode() + b"\n", prob.astype("<f4").tobytes()])
+    return f"{folder}/model"
+
+
+@lru_cache(maxsize=2)
+def _loaded(uri: str) -> tuple[list[str], np.ndarray]:
+    head, _, raw = read_bytes(uri).partition(b"\n")
+    langs = json.loads(head)
+    return langs, np.frombuffer(raw, "<f4").reshape(-1, len(langs)) if langs else np.zeros((0, 0))
+
+
 def _predict(batches, path, model):
-    predictor = _Predictor(path, model.value)
+    predictor = _Predictor(path, model)
     for b in batches:
         pred, score = predictor(b["text"].to_pylist())
         yield pa.RecordBatch.from_arrays([b["id"], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
 
-def _keep(batches, path, model, text_col):
-    predictor = _Predictor(path, model.value)
+def _keep(batches, path, model, text_col, lang_col, least):
+    predictor = _Predictor(path, model)
     for b in batches:
-        pred, _ = predictor([t or "" for t in b[text_col].to_pylist()])
-        yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+        texts = [t or "" for t in b[text_col].to_pylist()]
+        if predictor.langs:
+            pred, score = predictor(texts)
+            keep = [p != "und" and s >= least for p, s in zip(pred, score, strict=True)]
+            if lang_col in b.schema.names:
+                at = b.schema.get_field_index(lang_col)
+                told = pa.array([p if x is None else x for x, p in zip(b[lang_col].to_pylist(), pred, strict=True)], b.schema.field(at).type)
+                b = b.set_column(at, b.schema.field(at), told)
+        else:
+            keep = [any(map(str.isalpha, t)) for t in texts]
+        yield b.filter(pa.array(keep, pa.bool_()))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row, from its text alone."""
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(partial(_predict, path=path, model=sent), f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(partial(_predict, path=path, model=_saved(docs, model)), f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
 
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """The rows, with all their columns, whose language the model tells with a score of at least `least`.
 
-def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language can be told: the others have no letter or no text."""
+    Where lang_col, a column of strings, is null it gets the prediction. Of a model that could learn nothing (no row has a
+    language) no choice is asked: rows with a letter stay.
+    """
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_keep, path=path, model=sent, text_col=text_col), docs.schema)
+    told = lang_col if dict(docs.dtypes).get(lang_col) == "string" else ""
+    return docs.mapInArrow(partial(_keep, path=path, model=_saved(docs, model), text_col=text_col, lang_col=told, least=least), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
