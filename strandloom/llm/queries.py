@@ -42,8 +42,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm import warc
 
-    folder = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
-    return warc.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    return warc.lookup(pages, warc.write_archives(pages, least=0), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,20 @@ Archives: one gzip member per record. Pages of equal payload share one response
 the others are revisit records that keep the HTTP header, the payload's digest and the response's record id.
 
 Index: lines "key, page id, archive, offset, length", sorted by reversed-host URL key, in compressed blocks; a sparse
-directory holds the first key and the place of each block. A lookup binary-searches the directory, reads one block (or
-the run of blocks that a key spans) by range, binary-searches its lines and reads the records by range.
+directory holds the first key and the place of each block. A lookup has three steps, each spread over tasks: keys are
+binary-searched in the directory, which gives the block (or the run of blocks that a key spans); each block is read once
+by range and its keys are binary-searched in its lines; captures are read by range, archive by archive. A key that holds
+a third of all captures so becomes many blocks, which go to many tasks. Every step reads what it needs and no more.
+
+A worker holds the directory: a key and a place for LINES captures.
 
 Payloads cross one shuffle, the join with the table of repeated digests, which Spark splits where a payload is hot; that
 table has no payloads. Rows of an archive are sorted, so a task that runs again writes the same bytes.
 
 Defined results: a null html is an empty payload, grouped like any other; a null url has an empty key; a null page id is
 a revisit where an equal payload has an id, else a response; rows that repeat a response's page id are responses too; an
-empty table gives no archives and no rows; other columns, whatever their names, are not read.
+empty table gives no archives and no rows; other columns, whatever their names, are not read. A URL reads back as it was,
+whatever its characters (those of a URI stay, others and the percent sign are percent-coded); a null one as empty.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import file_system, prepare, read_range, shared_dir, stored, text_or_empty, write_bytes
 
-#: Lines of an index block.
-LINES = 2000
+#: Lines of an index block; records of one archive go to a task in spans of two to the power of SPAN bytes.
+LINES, SPAN = 2000, 25
 DATE = "1970-01-01T00:00:00Z"
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)")
 
@@ -52,7 +57,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     name = lambda i: f"<urn:x-page:{'' if i is None else i}>"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url or '', safe='/?&=:;,.~!$()*+@%-_#[]')}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url or '', safe="/?&=:;,.~!$'()*+@-_#[]")}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -157,13 +162,6 @@ def directory(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("part int, block int, first_key string, index_uri string, offset long, length long, n long").parquet(f"{folder}/directory")
 
 
-def _entries(batches):
-    for b in batches:
-        for uri, at, n in zip(*(b[c].to_pylist() for c in ("index_uri", "offset", "length")), strict=True):
-            rows = lines_of(uri, at, n)
-            yield pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "uri": [r[2] for r in rows], "offset": [int(r[3]) for r in rows], "length": [int(r[4]) for r in rows]}, schema=pa.schema([("key", pa.string()), ("uri", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
-
-
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 RECORD_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
@@ -181,15 +179,6 @@ def _records(batches, payloads):
         yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """All records, found through the index and read archive by archive in order of offset."""
-    prepare(spark)
-    blocks = directory(spark, folder)
-    n = max(1, blocks.count())
-    entries = blocks.repartition(min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "index_uri", "offset").mapInArrow(_entries, "key string, uri string, offset long, length long")
-    return entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uri").sortWithinPartitions("uri", "offset").mapInArrow(partial(_records, payloads=payloads), RECORD)
-
-
 @lru_cache(maxsize=2)
 def _directory(uri: str) -> tuple[list[bytes], list[tuple]]:
     """The sparse directory, in the order of the sorted index."""
@@ -200,24 +189,46 @@ def _directory(uri: str) -> tuple[list[bytes], list[tuple]]:
     return [r["first_key"].encode() for r in rows], [(r["index_uri"], r["offset"], r["length"]) for r in rows]
 
 
-def captures_of(folder: str, url: str | None) -> list[tuple[str, int, int]]:
-    """(archive, offset, length) of every capture of a URL: a binary search in the directory, then one in its blocks."""
+def _blocks_of(batches, folder):
+    """(key, block) of every block that may hold a key, by binary search in the directory."""
     firsts, places = _directory(f"{folder}/directory")
-    key, out = url_key(url).encode(), []
-    for k in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
-        lines = lines_of(*places[k])
-        keys = [x[0].encode() for x in lines]
-        out += [(x[2], int(x[3]), int(x[4])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
-    return out
+    for b in batches:
+        out = []
+        for key in b["key"].to_pylist():
+            raw = key.encode()
+            out += [(key, *places[k]) for k in range(max(0, bisect_left(firsts, raw) - 1), bisect_right(firsts, raw))]
+        if out:
+            key, uri, at, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(uri, pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["key", "index_uri", "offset", "length"])
 
 
-def _lookup(batches, folder):
+def _captures(batches):
+    """(archive, offset, length) of the keys' lines, by binary search in each block; rows come block by block."""
+    place, lines, keys = None, [], []
     for b in batches:
-        out = [parse(read_range(*place)) for url in b["url"].to_pylist() for place in captures_of(folder, url)]
-        yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
+        out = []
+        for key, *here in zip(*(b[c].to_pylist() for c in ("key", "index_uri", "offset", "length")), strict=True):
+            if here != place:
+                place, lines = here, lines_of(*here)
+                keys = [x[0].encode() for x in lines]
+            raw = key.encode()
+            out += [(x[2], int(x[3]), int(x[4])) for x in lines[bisect_left(keys, raw) : bisect_right(keys, raw)]]
+        if out:
+            uri, at, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(uri, pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["uri", "offset", "length"])
+
+
+def _keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(x) for x in b["url"].to_pylist()], pa.string())], names=["key"])
 
 
-def lookup(urls: DataFrame, folder: str) -> DataFrame:
-    """Records of all captures whose key is that of a given URL."""
-    prepare(urls.sparkSession)
-    return urls.select(F.col("url").cast("string").alias("url")).mapInArrow(partial(_lookup, folder=folder), RECORD)
+def lookup(urls: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Records of all captures whose key is that of a given URL, each once."""
+    spark = urls.sparkSession
+    prepare(spark)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(_keys, "key string").distinct()
+    blocks = keys.mapInArrow(partial(_blocks_of, folder=folder), "key string, index_uri string, offset long, length long")
+    found = blocks.repartition(width, "index_uri", "offset").sortWithinPartitions("index_uri", "offset", "key").mapInArrow(_captures, "uri string, offset long, length long")
+    return found.repartition(width, "uri", F.shiftright("offset", SPAN)).sortWithinPartitions("uri", "offset").mapInArrow(partial(_records, payloads=payloads), RECORD)

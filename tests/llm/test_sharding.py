@@ -30,10 +30,51 @@ def test_versions_and_compaction_keep_every_row(spark):
     assert sorted(map(tuple, store.read().collect()), key=str) == sorted(want * 2, key=str)
     assert sorted(map(tuple, store.read(first).collect()), key=str) == want
     assert store.compact() == done
-    stale = store.manifest(first)
-    with pytest.raises(Exception, match="AlreadyExists|exists"):
-        store._commit(stale, [], stale["schema"])
-    assert store.vacuum() > 0 and store.read().count() == 2 * len(rows)
+    with pytest.raises(M.Taken):
+        store._commit(first, [], store.manifest(first)["schema"])
+    assert store.read().count() == 2 * len(rows)
+    with pytest.raises(ValueError):
+        store.append(docs.drop("uri"))
+    assert store.vacuum() == done - 1 and store.read().count() == 2 * len(rows)  # young files stay
+    assert store.vacuum(older=0) > 0 and store.read().count() == 2 * len(rows)
+
+
+def test_two_writers_both_commit(spark, monkeypatch):
+    store, docs = M.ShardStore(spark), spark.range(40).repartition(5)
+    store.append(docs)
+    other, real = M.ShardStore(spark, store.folder), M.ShardStore._commit
+    late = []
+
+    def commit(self, base, lists, schema):
+        if self is store and not late:
+            late.append(other.append(docs))  # another writer takes the version first
+        return real(self, base, lists, schema)
+
+    monkeypatch.setattr(M.ShardStore, "_commit", commit)
+    assert store.append(docs) == 3 and late == [2] and store.read().count() == 120
+    late.clear()
+    assert store.compact() == 5 and late == [4]  # the merge holds beside the new arrival
+    assert store.read().count() == 160 and len(store.manifest()["shards"]) < len(store.manifest(4)["shards"])
+
+
+def test_vacuum_spares_what_is_not_committed_yet(spark, monkeypatch):
+    store = M.ShardStore(spark)
+    store.append(spark.range(10))
+    real = M.ShardStore._commit
+
+    def commit(self, base, lists, schema):
+        store.vacuum()
+        return real(self, base, lists, schema)
+
+    monkeypatch.setattr(M.ShardStore, "_commit", commit)
+    store.append(spark.range(10, 20))
+    assert sorted(r.id for r in store.read().collect()) == list(range(20))
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(i, "t", i, -i) for i in range(50)], "doc_id long, text string, __arrival int, Arrival int")
+    got = M.sharded(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_query_form(spark):
