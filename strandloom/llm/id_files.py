@@ -11,7 +11,7 @@ Whole files are written under a name of the attempt and moved into place, so a l
 no half file; a shard is read by ranges, never as a whole.
 
 Defined results: a null text is an empty one and gives the end id alone; rows with a null id come first, with equal ids
-in any order; an empty table gives no files and no rows; other columns, whatever their names, are not read.
+in the order of the rows read; an empty table gives no files and no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from strandloom.llm.common import file_system, prepare, read_range, shared_dir,
 from strandloom.llm.tokens import encoder
 
 MAGIC = b"S8B1"
-#: Ids of a block, which decodes on its own, and bytes of text aimed at in a file.
-BLOCK, FILE_BYTES = 1024, 64 << 20
+#: Ids of a block, which decodes on its own; ids aimed at in a file; ids that a reader gathers before it sends them on.
+BLOCK, FILE_IDS, HELD = 1024, 16 << 20, 1 << 20
 # Fixed values: (ids in a word, bits of each) by selector, widest first; selector 15 is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 59)]
 ESCAPE = 15
@@ -137,17 +137,27 @@ def read_ids(uri: str, group: int = 512):
         left, held = [have[n:]], held - n
 
 
-def _write(batches, path, end_id, folder):
+def _encoded(batches, path, end_id):
+    """Of each row its id, how many ids its text has and those ids, two bytes each where all fit."""
+    pack, tail = encoder(path).pack, struct.pack("<I", end_id)
+    for b in batches:
+        sizes, packed = [], []
+        for t in b["text"].to_pylist():
+            raw = np.frombuffer(pack(t) + tail, "<u4")
+            sizes.append(len(raw))
+            packed.append((raw.astype("<u2") if raw.max() < 1 << 16 else raw).tobytes())
+        yield pa.RecordBatch.from_arrays([b["id"], b["row"], pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["id", "row", "n", "ids"])
+
+
+def _write(batches, folder):
     """One file for each sorted partition: its name, documents and ids. Only packed ids are held, two or four bytes each."""
     from pyspark import TaskContext
 
-    pack, tail = encoder(path).pack, struct.pack("<I", end_id)
     docs, parts = [], []
     for b in batches:
-        for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
-            raw = np.frombuffer(pack(t) + tail, "<u4")
-            docs.append((NULL_ID if i is None else i, len(raw)))
-            parts.append(raw.astype(np.uint16) if raw.max() < 1 << 16 else raw)
+        for i, n, raw in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["ids"].to_pylist(), strict=True):
+            docs.append((NULL_ID if i is None else i, n))
+            parts.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"))
     if docs:
         part = TaskContext.get().partitionId()
         ids = np.concatenate(parts)
@@ -164,15 +174,15 @@ def _read(batches):
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     for b in batches:
         for uri, start in zip(b["uri"].to_pylist(), b["start"].to_pylist(), strict=True):
-            rows: list = []
+            rows, held = [], 0
             for doc_id, ids in read_ids(uri):
                 rows.append((None if doc_id == NULL_ID else doc_id, start, len(ids), ids.astype("<u4").tobytes()))
-                start += len(ids)
-                if len(rows) == 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
+                start, held = start + len(ids), held + len(ids)
+                if held >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _digest(batches):
@@ -181,19 +191,22 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([b["id"], b["start"], b["n_tokens"], crc], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of all documents; returns the manifest (part, uri, n_docs, n_ids, start), one row for each file.
 
-    Ranges of ids go to one file each, sized by the bytes of all texts. The manifest has a row for a file, not for a
-    document; the prefix sum over it is the only step that meets in one task.
+    Texts are encoded where they are read, once, and written as packed ids; only those cross the range shuffle. A range is
+    one of (id, row): rows with the same id, or none, are parted by their place, so that no id is too large for a file.
+    The manifest has a row for a file, not for a document; the prefix sum over it is the only step that meets in one task.
     """
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or shared_dir(spark, "id-files")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    size, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    parts = max(1, int(size or 0) // file_bytes, min(int(n), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    files = stored(rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(partial(_write, path=path, end_id=end_id, folder=folder), "part long, uri string, n_docs long, n_ids long"), "id-manifest")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
+    packed = stored(rows.mapInArrow(partial(_encoded, path=path, end_id=end_id), "id long, row long, n long, ids binary"), "id-packed")
+    size, n = packed.agg(F.sum("n"), F.count(F.lit(1))).first()
+    parts = max(1, int(size or 0) // file_ids, min(int(n), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = packed.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
+    files = stored(ranges.select("id", "n", "ids").mapInArrow(partial(_write, folder=folder), "part long, uri string, n_docs long, n_ids long"), "id-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -206,5 +219,3 @@ def read_manifest(manifest: DataFrame) -> DataFrame:
 
 def digests(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return documents.mapInArrow(_digest, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
-
-

@@ -21,7 +21,7 @@ from strandloom.llm.common import prepare, stored, text_or_empty
 from strandloom.llm.tokens import encoder
 
 #: Characters from which a document is cut into chunks, characters of a chunk, and of the first overlap.
-HUGE, CHUNK, OVERLAP = 200_000, 100_000, 2_000
+HUGE, CHUNK, OVERLAP = 16_000, 12_000, 600
 #: Places so near a window's end that text beyond it could still change them: longer than any special token's string.
 MARGIN = 32
 
@@ -88,9 +88,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = dict(rows.dtypes)["id"]
     result = rows.where(F.length("text") <= huge).mapInArrow(partial(_count, path=path), f"id {kind}, n_bytes long, n_tokens long")
-    large = rows.where(F.length("text") > huge)
-    if not large.select(F.lit(1)).isEmpty():
-        large = stored(large.withColumn("row", F.monotonically_increasing_id()), "token-huge")
+    large = stored(rows.where(F.length("text") > huge).withColumn("row", F.monotonically_increasing_id()), "token-huge")
+    if not large.isEmpty():
         counted = _huge(large.select("row", "n_bytes", "text"), path, chunk, overlap)
         result = result.unionByName(large.select("row", "id", "n_bytes").join(counted, "row").select("id", "n_bytes", "n_tokens"))
     return result.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

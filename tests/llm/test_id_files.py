@@ -42,3 +42,25 @@ def test_empty_table_and_null_id(spark):
     docs = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
     got = M.read_manifest(M.write_ids(docs, vocabulary("byte_bpe_50k.json"), 2)).collect()
     assert sorted((-1 if r.id is None else r.id, r.start) for r in got) == [(-1, 0), (1, 2), (1, 4)]
+
+
+def test_one_id_or_none_for_all_rows(spark):
+    """Rows with equal or null ids fill several files, in the order of the rows."""
+    docs = spark.createDataFrame([(None if k % 2 else 5, f"word{k} " * (k % 9)) for k in range(900)], "doc_id long, text string").repartition(6)
+    manifest = M.write_ids(docs, vocabulary("byte_bpe_50k.json"), 2, file_ids=400)
+    files = manifest.collect()
+    got = M.read_manifest(manifest).collect()
+    assert len(files) > 8 and max(f.n_ids for f in files) < 3 * sum(f.n_ids for f in files) / len(files)
+    rows = sorted(got, key=lambda r: r.start)
+    assert len(rows) == 900 and [r.id for r in rows] == [None] * 450 + [5] * 450
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(900)]
+
+
+def test_ids_equal_the_library_on_whole_documents(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.id: bytes(r.ids) for r in M.read_manifest(M.write_ids(spark.createDataFrame(rows), vocabulary("byte_bpe_50k.json"), 2)).collect()}
+    for r, enc in zip(rows, tok.encode_batch([r.text or "" for r in rows], add_special_tokens=False), strict=True):
+        assert got[r.doc_id] == struct.pack(f"<{len(enc.ids) + 1}I", *enc.ids, 2)
