@@ -1,6 +1,7 @@
 import corpus_pipeline as P
 from strandloom.llm import secrets
-from tests_llm_brute import brute_components, brute_leaks
+from test_decontaminate import brute as brute_leaks
+from test_similar import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +18,8 @@ def test_stages_equal_brute_force(spark):
     assert state.columns == docs.columns and {r.doc_id: r.text for r in state.collect()} == want
 
     state = P.stored(P.near_dedup(spark, state, SF), "t")
-    comp = brute_components(list(want.items()))
-    want = {i: t for i, t in want.items() if comp[i][1] == i}
+    root = brute_groups(list(want.items()))
+    want = {i: t for i, t in want.items() if root[i] == i}
     assert state.columns == docs.columns and {r.doc_id: r.text for r in state.collect()} == want
 
     state = P.stored(P.decontamination(spark, state, SF), "t")
@@ -35,6 +36,26 @@ def test_stages_equal_brute_force(spark):
     assert {r.doc_id for r in packed} == want.keys()
 
 
+def test_odd_tables(spark):
+    """Null and repeated ids, repeated rows, clashing names and an empty table go through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = [(None, "the words of a text without id or language and some more of them here", None), (None, "", "en"), (7, None, "en"), (7, "words " * 30_000, None), (7, "words " * 30_000, None)]
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + odd
+    frame = spark.createDataFrame([(i, t, x, "s", len(t or ""), 1, "k", 2.0) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars int, row int, key string, number double")
+    for name, stage in P.STAGES[:-1]:
+        frame = P.stored(stage(spark, frame, SF), "t")
+        assert frame.columns[-3:] == ["row", "key", "number"], name
+    kept = frame.collect()
+    assert sum(r.doc_id == 7 and r.text.startswith("words words") for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 1
+    assert all(r.lang for r in kept)
+    assert {r.doc_id for r in P.best_fit_packing(spark, frame, SF).collect()} == {r.doc_id for r in kept}
+    empty = docs.limit(0)
+    for _, stage in P.STAGES[:-1]:
+        empty = stage(spark, empty, SF)
+        assert empty.collect() == []
+    assert P.best_fit_packing(spark, empty, SF).collect() == []
+
+
 def test_run_and_names(spark):
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scans", "best_fit_packing"]
     assert {"doc_id", "sequence_id", "offset"} <= set(P.run(spark, SF).columns)
