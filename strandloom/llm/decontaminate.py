@@ -172,7 +172,8 @@ def _matches(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: st
     window_fp = _simhash(windows.select(*keys, F.explode("hashes").alias("h")), keys)
     item_fp = _simhash(grams.select("row", "n", "h"), ["row", "n"]).select("row", "n", F.col("m").alias("item_m"), F.col("fp").alias("item_fp"), _blocks("fp"))
     listed = item_fp.select("row", "n", "item_m", "item_fp", "block", "bits", _flips().alias("flip")).withColumn("bits", F.col("bits").bitwiseXOR(F.col("flip"))).drop("flip")
-    pairs = window_fp.select(*keys, "m", "fp", _blocks("fp")).join(listed, ["n", "block", "bits"])
+    # the list is 2,788 rows an item, which its estimated size doesn't show: it is never broadcast
+    pairs = window_fp.select(*keys, "m", "fp", _blocks("fp")).join(listed.hint("merge"), ["n", "block", "bits"])
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*keys, "m", "item_m", "row").distinct()
 
     in_window = windows.select(*keys, F.explode("hashes").alias("h")).groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("a"))

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import prepare, read_bytes, shared_dir, text_or_empty, write_bytes
 
 #: Labelled rows of a fit; addend of a piece; cells (words x bytes) of a batch of words; bytes up to which words of a batch have equal lengths.
-TRAIN_DOCS, ADDEND, CELLS, SHORT = 20_000, 0.05, 1 << 18, 32
+TRAIN_DOCS, ADDEND, CELLS, SHORT = 20_000, 0.05, 1 << 15, 32
 #: Least score of a text whose language counts as told.
 LEAST = 0.5
 #: Scores (words x languages) that a worker remembers.
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 SLOTS = 1 << 20
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -95,10 +95,10 @@ class Pieces:
                 break
             power, done = power * pow(int(BASE), k - done, 1 << 64) % (1 << 64), k
             found = self.find((ahead[k:] - ahead[:-k] * np.uint64(power)).ravel()).reshape(n + 1 - k, len(words))
-            j, w = np.nonzero(found)
+            j, w = (x.astype(np.int32) for x in np.nonzero(found))
             inside = j + k <= sizes[w]
             j, w = j[inside], w[inside]
-            out.append((j, w, np.full(len(j), k), found[j, w]))
+            out.append((j, w, np.full(len(j), k, np.int32), found[j, w].astype(np.int32)))
         j, w, k, piece = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.argsort(j, kind="stable")
         j = j[order]

@@ -21,7 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import picked, prepare, stored
@@ -82,11 +82,15 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """(row, n, at, h): the shingles by which a row meets others, their places and the size of the row's set."""
+    """(row, n, at, h, p): the shingles by which a row meets others, their places, the size of the row's set, and the
+    smallest row (row, n, at) of the cell. Only cells of two rows or more; the rest ends in the one shuffle by shingle."""
     held = sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)).select(F.explode("hashes").alias("h")).groupBy("h").count()
     common = [r.h for r in held.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).collect()]
     found = rows.select("row", "text").mapInArrow(partial(_prefixes, common=common), "row long, n int, hashes array<long>")
-    return stored(found.select("row", "n", F.posexplode("hashes").alias("at", "h")), "similar-prefixes")
+    cell = Window.partitionBy("h")
+    spots = found.select("row", "n", F.posexplode("hashes").alias("at", "h"))
+    spots = spots.withColumn("members", F.count(F.lit(1)).over(cell)).withColumn("p", F.min(F.struct("row", "n", "at")).over(cell))
+    return stored(spots.where("members > 1").drop("members"), "similar-prefixes")
 
 
 def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
@@ -98,16 +102,14 @@ def groups(rows: DataFrame, only: DataFrame | None = None, known: DataFrame | No
 
     only: (row), the rows to take, if not all. known: links (u, v) at the similarity that were found before; they only save work.
     """
+    spots = prefixes(rows if only is None else picked(rows, "row", only))
     only = rows.select("row") if only is None else only
-    spots = prefixes(rows)
-    spots = stored(spots.join(only, "row", "left_semi"), "similar-spots")
-    cells = spots.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("row", "n", "at")).alias("p")).where("members > 1").select("h", "p")
-    star = spots.join(cells, "h").where(F.col("row") > F.col("p.row")).where(_possible(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at")))
+    star = spots.where(F.col("row") > F.col("p.row")).where(_possible(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at")))
     links = verified(rows, star.select(F.col("p.row").alias("u"), F.col("row").alias("v")))
     links = links if known is None else links.unionByName(known.select("u", "v"))
     joined = components(links)
 
-    spots = spots.join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").withColumn("root", F.coalesce("component_id", "row"))
+    spots = spots.drop("p").join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").withColumn("root", F.coalesce("component_id", "row"))
     by_root = spots.groupBy("h", "root").agg(F.count(F.lit(1)).alias("members"))
     mixed = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("members", "root"))["root"].alias("largest")).where("roots > 1").select("h", "largest")
     spots = stored(spots.join(mixed, "h").select("h", "row", "n", "at", "root", "largest"), "similar-mixed")
