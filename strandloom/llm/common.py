@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes in one Arrow batch between the JVM and Python; a batch ends at whichever comes first.
-ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: Work folders that shared_dir has named in this process.
 _made: list[str] = []
 
@@ -76,7 +76,12 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _picked(batches, number, folder, keep):
+def _picked(batches, number, folder, keep, then):
+    rows = _listed(batches, number, folder, keep)
+    yield from rows if then is None else then(rows)
+
+
+def _listed(batches, number, folder, keep):
     import numpy as np
     import pyarrow as pa
     import pyarrow.parquet as pq
@@ -96,16 +101,17 @@ def _picked(batches, number, folder, keep):
         yield b.filter(pa.array(hit == keep, pa.bool_()))
 
 
-def picked(docs: DataFrame, number: str, listed: DataFrame, keep: bool = True) -> DataFrame:
+def picked(docs: DataFrame, number: str, listed: DataFrame, keep: bool = True, then=None, schema: str | None = None) -> DataFrame:
     """The rows of a numbered table that a list of numbers (its only column) names, or all others.
 
     The list is cut by the partition that wrote a row (the number's upper bits), and a task over a file of the table reads
     the part for that file: the wide rows of the table never cross a shuffle, whatever the length of the list.
+    then: what to make of the batches of these rows in the same worker, to rows of `schema`.
     """
     folder = shared_dir(docs.sparkSession, "picked")
     listed = listed.select(F.col(listed.columns[0]).alias("listed"), F.shiftright(listed.columns[0], 33).alias("part"))
     listed.repartition("part").write.partitionBy("part").parquet(folder)
-    return docs.mapInArrow(partial(_picked, number=number, folder=folder, keep=keep), docs.schema)
+    return docs.mapInArrow(partial(_picked, number=number, folder=folder, keep=keep, then=then), schema or docs.schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -187,7 +187,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(keys.dtypes)["own"]
     keyed = stored(keys.mapInArrow(partial(_keyed, words=words), f"row long, id {kind}, key string, fp long"), "near-keys")
     texts = stored(keyed.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("rank"), F.first("fp").alias("fp")).select(F.col("rank.row").alias("row"), "rank", "fp"), "near-texts")
-    known = verified(rows, links(texts.select("fp", F.col("row").alias("rep")), radius))
+    known = verified(rows, links(texts.select("fp", F.col("row").alias("rep")), radius).distinct())
     roots = groups(rows, texts.select("row"), known)
     kept = texts.join(roots, "row").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
     gone = keyed.select("row").join(kept, "row", "left_anti")

@@ -70,10 +70,10 @@ def sets(rows: DataFrame) -> DataFrame:
 
 
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (u, v) of rows (row, text), numbered and stored, that are at the similarity."""
-    pairs = stored(pairs.select("u", "v").distinct(), "similar-pairs")
+    """Those pairs (u, v), each once, of rows (row, text), numbered and stored, that are at the similarity."""
+    pairs = stored(pairs.select("u", "v"), "similar-pairs")
     ends = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
-    whole = stored(sets(picked(rows, "row", ends)), "similar-sets")
+    whole = stored(picked(rows, "row", ends, then=_sets, schema="row long, hashes array<long>"), "similar-sets")
     for s in "uv":
         pairs = pairs.join(whole.select(F.col("row").alias(s), F.col("hashes").alias(f"set_{s}")), s)
     shared = F.size(F.array_intersect("set_u", "set_v"))
@@ -81,12 +81,13 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(pairs.where(alike).select("u", "v"), "similar-links")
 
 
-def prefixes(rows: DataFrame) -> DataFrame:
+def prefixes(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(row, n, at, h, p): the shingles by which a row meets others, their places, the size of the row's set, and the
     smallest row (row, n, at) of the cell. Only cells of two rows or more; the rest ends in the one shuffle by shingle."""
     held = sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)).select(F.explode("hashes").alias("h")).groupBy("h").count()
     common = [r.h for r in held.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).collect()]
-    found = rows.select("row", "text").mapInArrow(partial(_prefixes, common=common), "row long, n int, hashes array<long>")
+    cut, kinds, rows = partial(_prefixes, common=common), "row long, n int, hashes array<long>", rows.select("row", "text")
+    found = rows.mapInArrow(cut, kinds) if only is None else picked(rows, "row", only, then=cut, schema=kinds)
     cell = Window.partitionBy("h")
     spots = found.select("row", "n", F.posexplode("hashes").alias("at", "h"))
     spots = spots.withColumn("members", F.count(F.lit(1)).over(cell)).withColumn("p", F.min(F.struct("row", "n", "at")).over(cell))
@@ -94,18 +95,30 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+    """Whether the sizes and a shared shingle's places leave room for the similarity, if no shared one comes before it."""
     return 9 * (1 + F.least(n_a - at_a - 1, n_b - at_b - 1)) >= 4 * (n_a + n_b)
 
 
+def _candidates(meetings: DataFrame) -> DataFrame:
+    """Pairs (u, v) that may be at the similarity, each once, of meetings (u, v, n_u, n_v, at_u, at_v), one for each shared shingle.
+
+    What two sets share is what their prefixes share, and at most what is left of one of them.
+    """
+    left = lambda n: F.floor((4 * n + 4) / 5) - 1
+    pairs = meetings.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.bool_or(_possible(F.col("n_u"), F.col("at_u"), F.col("n_v"), F.col("at_v"))).alias("ok"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"))
+    return pairs.where("ok").where(9 * (F.col("c") + F.greatest(left(F.col("n_u")), left(F.col("n_v")))) >= 4 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+
+
 def groups(rows: DataFrame, only: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(row, root) of rows (row, text), numbered and stored: equal roots for rows that links at the similarity connect.
 
     only: (row), the rows to take, if not all. known: links (u, v) at the similarity that were found before; they only save work.
     """
-    spots = prefixes(rows if only is None else picked(rows, "row", only))
+    spots = prefixes(rows, only)
     only = rows.select("row") if only is None else only
-    star = spots.where(F.col("row") > F.col("p.row")).where(_possible(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at")))
-    links = verified(rows, star.select(F.col("p.row").alias("u"), F.col("row").alias("v")))
+    # a row may meet its smallest one in some of their cells only, and so seem less similar: the second step finds what is lost here
+    star = spots.where(F.col("row") > F.col("p.row")).select(F.col("p.row").alias("u"), F.col("row").alias("v"), F.col("p.n").alias("n_u"), F.col("n").alias("n_v"), F.col("p.at").alias("at_u"), F.col("at").alias("at_v"))
+    links = verified(rows, _candidates(star))
     links = links if known is None else links.unionByName(known.select("u", "v"))
     joined = components(links)
 
@@ -115,9 +128,11 @@ def groups(rows: DataFrame, only: DataFrame | None = None, known: DataFrame | No
     spots = stored(spots.join(mixed, "h").select("h", "row", "n", "at", "root", "largest"), "similar-mixed")
     a, b = (spots.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "root", "largest")]) for s in "ab")
     a = a.where("root_a <> largest_a")
-    fresh = (F.col("root_b") == F.col("largest_b")) | (F.col("row_a") < F.col("row_b"))
-    pairs = a.join(b, "h").where("root_a <> root_b").where(fresh & _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
-    more = verified(rows, pairs.select(F.least("row_a", "row_b").alias("u"), F.greatest("row_a", "row_b").alias("v")))
+    fresh = (F.col("root_b") == F.col("largest_b")) | (F.col("row_a") < F.col("row_b"))  # each pair once a cell
+    met = a.join(b, "h").where("root_a <> root_b").where(fresh)
+    first = F.col("row_a") < F.col("row_b")
+    sides = [F.when(first if s == "u" else ~first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{'' if c == 'row' else c + '_'}{s}") for c in ("row", "n", "at") for s in "uv"]
+    more = verified(rows, _candidates(met.select(*sides)))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     return only.join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").select("row", F.coalesce("component_id", "row").alias("root"))
