@@ -26,6 +26,8 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("OPENBLAS_NUM_THREADS", "1")):
+        env.setdefault(name, value)  # a worker gives freed memory back, and has one thread for its one task
     for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
         now = int(spark.conf.get(key).removesuffix("b"))

@@ -37,7 +37,7 @@ TRAIN_DOCS, ADDEND, CELLS, SHORT = 20_000, 0.05, 1 << 15, 32
 #: Least score of a text whose language counts as told.
 LEAST = 0.5
 #: Scores (words x languages) that a worker remembers.
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 SLOTS = 1 << 20
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 

@@ -28,7 +28,7 @@ from strandloom.llm.common import picked, prepare, stored
 from strandloom.llm.graph import components
 
 #: Words of a shingle, seed of the word hash, one of so many rows sampled, rows of the sample that make a shingle common, most such.
-WORDS, SEED, SAMPLE, OFTEN, COMMON = 5, 43, 16, 4, 50_000
+WORDS, SEED, SAMPLE, OFTEN, COMMON = 5, 43, 8, 2, 400_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +52,6 @@ def _sets(batches):
 
 
 def _prefixes(batches, common):
-    common = np.array([*sorted(common), np.iinfo(np.int64).max], np.int64)
     for b in batches:
         sizes, parts = [], []
         for t in b["text"].to_pylist():
@@ -85,7 +84,8 @@ def prefixes(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(row, n, at, h, p): the shingles by which a row meets others, their places, the size of the row's set, and the
     smallest row (row, n, at) of the cell. Only cells of two rows or more; the rest ends in the one shuffle by shingle."""
     held = sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)).select(F.explode("hashes").alias("h")).groupBy("h").count()
-    common = [r.h for r in held.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).collect()]
+    common = held.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
+    common = np.append(np.sort(common), np.iinfo(np.int64).max)
     cut, kinds, rows = partial(_prefixes, common=common), "row long, n int, hashes array<long>", rows.select("row", "text")
     found = rows.mapInArrow(cut, kinds) if only is None else picked(rows, "row", only, then=cut, schema=kinds)
     cell = Window.partitionBy("h")
