@@ -36,4 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duckdb_sql(with_views(text)) for name, text in SQL.items()}
+    from strandloom.plans import oracles
+
+    return {name: duckdb_sql(with_views(text)) for name, text in SQL.items()} | oracles.oracle_sql()
