@@ -88,6 +88,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    # base32 of a digest is its 160 bits five at a time; the digest's 40 hex digits are 32 fives
+    "op4_warc_index": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h),
+z AS (SELECT h, string_agg(substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * CAST(position(substr(h, CAST(j AS INT), 1) IN '0123456789abcdef') AS INT) - 3, 4), '' ORDER BY j) AS bits FROM f, (SELECT unnest(range(1, 41)) AS j) k GROUP BY h),
+l AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum([CAST(substr(bits, CAST(5 * g + b + 1 AS INT), 1) AS INT) * CAST(power(2, 4 - b) AS INT) for b in range(5)]) AS INT), 1), '' ORDER BY g) AS label
+      FROM z, (SELECT unnest(range(32)) AS g) k GROUP BY h)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, l.label AS payload_digest, CASE WHEN d.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to FROM d JOIN f ON d.h = f.h JOIN l ON d.h = l.h""",
+    # every window of an item's size in every document that shares a shingle with the item; of each pair the best window
+    "op9_decontamination": """
+WITH d AS (SELECT DISTINCT doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if x <> ''] AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, item_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if x <> ''] AS w FROM benchmark),
+s AS (SELECT k, item_id, w, len(w) AS n, least(5, len(w)) AS g FROM i WHERE len(w) > 0),
+ig AS (SELECT k, n, g, array_to_string(w[CAST(p AS INT):CAST(p + g - 1 AS INT)], ' ') AS t, count(*) AS b FROM (SELECT *, unnest(range(1, n - g + 2)) AS p FROM s) x GROUP BY ALL),
+dg AS (SELECT doc_id, len(w) AS len, g, p, array_to_string(w[CAST(p AS INT):CAST(p + g - 1 AS INT)], ' ') AS t FROM (SELECT doc_id, w, g, unnest(range(1, len(w) - g + 2)) AS p FROM d, (SELECT DISTINCT g FROM s) y) x),
+h AS (SELECT dg.doc_id, dg.len, dg.p, dg.t, ig.k, ig.n, ig.g, ig.b, least(ig.n, dg.len) - ig.g + 1 AS m FROM dg JOIN ig ON dg.t = ig.t AND dg.g = ig.g),
+c AS (SELECT doc_id, len, k, n, g, m, t, b, start, count(*) AS a FROM (SELECT *, unnest(range(greatest(0, p - m), least(p - 1, greatest(0, len - n)) + 1)) AS start FROM h) x GROUP BY ALL),
+v AS (SELECT doc_id, k, start, least(n, len) AS n_words, sum(least(a, b)) AS shared, m + n - g + 1 AS total FROM c GROUP BY doc_id, k, start, n, g, m, len),
+r AS (SELECT *, CAST(shared AS DOUBLE) / CAST(total - shared AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY doc_id, k ORDER BY CAST(shared AS DOUBLE) / CAST(total - shared AS DOUBLE) DESC, start) AS best FROM v)
+SELECT r.doc_id, s.item_id, CAST(r.start AS INT) AS start, CAST(r.n_words AS INT) AS n_words, r.similarity FROM r JOIN s ON r.k = s.k WHERE best = 1 AND similarity >= 0.8""",
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),

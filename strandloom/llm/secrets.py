@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,9 +51,13 @@ class Scope:
         self.blanks, self.spans = blanks, sorted(spans)
         self.starts = [s for s, _ in self.spans]
         self.ends = sorted((e, s) for s, e in self.spans)
+        self.furthest = list(accumulate((e for _, e in self.spans), max))
 
     def near(self, start: int, end: int) -> bool:
-        """Whether another span lies within reach and on the same side of every blank line."""
+        """Whether another span overlaps, or lies within reach and on the same side of every blank line."""
+        k = bisect_left(self.starts, end)
+        if k and self.furthest[k - 1] > start:
+            return True
         lo, hi = bisect_left(self.ends, (start - REACH, -1)), bisect_right(self.starts, end + REACH)
         before = self.ends[lo : bisect_right(self.ends, (start, start))][-1:]  # the nearest one before
         after = self.spans[bisect_left(self.starts, end) : hi][:1]  # the nearest one after
