@@ -66,7 +66,8 @@ SQL: dict[str, str] = {
     "relink": f"SELECT kmer, base, side FROM ({TARGETS}) t WHERE NOT EXISTS (SELECT 1 FROM nodes d WHERE d.freq <= 1 AND d.kmer = {canon('t.next')})",
     # joins
     "node_lookup": f"SELECT w.read_id, w.p, n.freq FROM (SELECT read_id, p, {canon(f'substr(kp1, 1, {K})')} AS kmer FROM windows) w JOIN nodes n ON w.kmer = n.kmer",
-    "locate_read": "SELECT q.pos, r.read_id, q.pos - r.start AS off FROM (SELECT k * 997 % (SELECT 100 * count(*) FROM reads) AS pos FROM (SELECT RANGE(0; 99) AS k) x) q JOIN (SELECT read_id, CAST(100 * (row_number() OVER (ORDER BY read_id) - 1) AS BIGINT) AS start FROM reads) r ON q.pos >= r.start AND q.pos < r.start + 100",
+    "locate_read": """SELECT q.pos, r.read_id, q.pos - r.start AS off FROM (SELECT k * 997 % (SELECT 100 * count(*) FROM reads) AS pos FROM (SELECT row_number() OVER (ORDER BY read_id) - 1 AS k FROM reads) x) q
+        JOIN (SELECT read_id, CAST(100 * (row_number() OVER (ORDER BY read_id) - 1) AS BIGINT) AS start FROM reads) r ON q.pos >= r.start AND q.pos < r.start + 100""",
     "locate_segment": "SELECT read_id, p, CAST(CASE WHEN p <= 17 THEN 0 WHEN p <= 34 THEN 1 WHEN p <= 51 THEN 2 ELSE 3 END AS INT) AS serial FROM windows",
     "seed_lookup": f"SELECT w.read_id, w.p, f.rid FROM (SELECT read_id, p, substr(kp1, 1, {K}) AS seed FROM windows) w JOIN ({FIRST}) f ON w.seed = f.seed",
     "mate_join": "SELECT pair_id, lib_id, u1, u2, p1, p2 FROM pairs",
@@ -86,7 +87,7 @@ SQL: dict[str, str] = {
     "best_hit": f"SELECT qid, rid, consis_len FROM (SELECT qid, rid, consis_len, row_number() OVER (PARTITION BY qid ORDER BY consis_len DESC, rid, strand) AS k FROM ({OVERLAPS}) o) b WHERE k = 1",
     "overlap_count": f"SELECT qid, count(*) AS mapped FROM ({OVERLAPS}) o GROUP BY qid",
     "min_insert": "SELECT CAST(min(CASE WHEN lib_id = 0 THEN 300 ELSE 500 END) AS INT) AS min_insert FROM reads WHERE lib_id < 2",
-    # ranking and index parity, on bounded text
+    # ranking and index parity (Spark runs operators.index instead of these texts)
     "suffix_array": "SELECT isa, rid, off FROM sa",
     "bwt_column": "SELECT isa, bwt FROM sa",
     "fm_occ": "SELECT isa, bwt, CAST(count(*) OVER (PARTITION BY bwt ORDER BY isa ROWS UNBOUNDED PRECEDING) AS BIGINT) AS occ FROM sa",

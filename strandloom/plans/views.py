@@ -51,7 +51,7 @@ VIEWS = {
     "pairs": "SELECT a.pair_id, a.lib_id, a.unitig AS u1, b.unitig AS u2, a.pos AS p1, b.pos AS p2 FROM mates a JOIN mates b ON a.pair_id = b.pair_id WHERE a.mate = 1 AND b.mate = 2",
     "links": "SELECT least(u1, u2) AS u1, greatest(u1, u2) AS u2, count(*) AS n FROM pairs WHERE u1 <> u2 GROUP BY 1, 2",
     "gaps": "SELECT least(u1, u2) AS u1, greatest(u1, u2) AS u2, CAST(CASE WHEN lib_id = 0 THEN 300 ELSE 500 END - (100 - p1) - p2 AS DOUBLE) AS gap, CAST(CASE WHEN lib_id = 0 THEN 30 ELSE 50 END AS DOUBLE) AS sd FROM pairs WHERE u1 <> u2 AND lib_id < 2",
-    "segs": "SELECT read_id AS rid, seq FROM reads WHERE i < 2",
+    "segs": "SELECT read_id AS rid, seq FROM reads",
     "suffixes": "SELECT rid, CAST(p AS INT) AS off, substr(seq || '$', CAST(p AS INT) + 1) AS suffix, CASE WHEN p = 0 THEN '$' ELSE substr(seq, CAST(p AS INT), 1) END AS bwt FROM (SELECT rid, seq, RANGE(0; length(seq)) AS p FROM segs) q",
     "sa": "SELECT CAST(row_number() OVER (ORDER BY translate(suffix, '$CATG', '01234'), rid) AS BIGINT) AS isa, rid, off, bwt, substr(suffix, 1, 34) AS prefix FROM suffixes",
 }
