@@ -19,13 +19,13 @@ STEP, MISMATCHES, GAPS = 5, 0.02, 0.01
 CELLS = 8_000_000
 
 
-def _strands(reads: DataFrame) -> DataFrame:
+def strands(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.lit("+").alias("strand"), "seq").union(reads.select("read_id", F.lit("-"), revcomp(F.col("seq"))))
 
 
 def places(reads: DataFrame, targets: DataFrame, step: int = STEP, k: int = K) -> DataFrame:
     """(read_id, strand, seq, id, start) where a seed of k bases at every step-th base of a read, on either strand, meets a target."""
-    seeds = _strands(reads).where(F.length("seq") >= k).select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(step))).alias("o")).withColumn("seed", F.expr(f"substr(seq, o + 1, {k})"))
+    seeds = strands(reads).where(F.length("seq") >= k).select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(step))).alias("o")).withColumn("seed", F.expr(f"substr(seq, o + 1, {k})"))
     spots = targets.where(F.length("seq") >= k).select("id", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("p"), F.col("seq").alias("whole")).select("id", "p", F.expr(f"substr(whole, p + 1, {k})").alias("seed"))
     return seeds.join(spots.hint("merge"), "seed").select("read_id", "strand", "seq", "id", (F.col("p") - F.col("o")).alias("start")).distinct()
 
@@ -180,7 +180,7 @@ def flank_pairs(reads: DataFrame, k: int = K, queries: DataFrame | None = None,
 
     Queries and reads are told apart by read_id alone. Seeds that at least `most` reads begin with are repeats and left out, where that is given.
     """
-    at = _strands(reads if queries is None else queries).where(F.length("seq") > k).select(F.col("read_id").alias("qid"), "strand", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("p")).withColumn("seed", F.expr(f"substr(seq, p, {k})"))
+    at = strands(reads if queries is None else queries).where(F.length("seq") > k).select(F.col("read_id").alias("qid"), "strand", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("p")).withColumn("seed", F.expr(f"substr(seq, p, {k})"))
     first = reads.where(F.length("seq") > k).select(F.col("read_id").alias("rid"), F.substring("seq", 1, k).alias("seed"), F.expr(f"substr(seq, {k + 1})").alias("right_b"))
     if most is not None:
         first = first.join(first.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most), "seed", "left_anti")
@@ -194,7 +194,7 @@ def flank_pool(reads: DataFrame, targets: DataFrame, k: int = K) -> DataFrame:
     """
     long = targets.where(F.length("seq") >= k)
     tails = long.select("id", F.lit("r").alias("side"), F.expr(f"right(seq, {k})").alias("seed")).union(long.select("id", F.lit("l"), revcomp(F.substring("seq", 1, k))))
-    at = _strands(reads).where(F.length("seq") > k).select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k)).alias("p")).withColumn("seed", F.expr(f"substr(seq, p, {k})"))
+    at = strands(reads).where(F.length("seq") > k).select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k)).alias("p")).withColumn("seed", F.expr(f"substr(seq, p, {k})"))
     return at.join(tails, "seed").select("id", "side", "read_id", "strand", F.expr(f"substr(seq, p + {k})").alias("ext"))
 
 

@@ -30,9 +30,9 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from strandloom.plans import graphs, indexes, iterative
+    from strandloom.plans import columns, graphs, indexes, iterative
 
-    return {name: partial(run_sql, text=text) for name, text in SQL.items()} | iterative.queries() | graphs.queries() | indexes.queries()
+    return {name: partial(run_sql, text=text) for name, text in SQL.items()} | iterative.queries() | graphs.queries() | indexes.queries() | columns.queries()
 
 
 def oracle_sql() -> dict[str, str]:
