@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a reader takes from a file at a time, and bases that it gathers before it sends them on.
+BUFFER = 1 << 20
 SCHEMA = "path string, name string, comment string, seq string, qual string"
 
 
@@ -41,31 +43,45 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str | None]]:
         line = next(lines, None)
 
 
+def _opened(path: str):
+    """A stream over a file's bytes, from the place that its path names."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(name, compression=None)
+
+
 def _parse(batches):
+    """Records of files, a few at a time: neither a file nor what it unpacks to is ever held whole."""
     import pyarrow as pa
 
     schema = pa.schema([(c, pa.string()) for c in ("path", "name", "comment", "seq", "qual")] + [("num", pa.int64())])
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
     for b in batches:
-        for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-            raw = io.BytesIO(content)
-            text = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, encoding="ascii", errors="replace")
-            rows = []
+        for path in b["path"].to_pylist():
+            raw = io.BufferedReader(_opened(path), BUFFER)
+            packed = raw.peek(2)[:2] == b"\x1f\x8b"
+            text = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if packed else raw, encoding="ascii", errors="replace")
+            rows, held = [], 0
             for num, r in enumerate(records(iter(text))):
                 rows.append((path, *r, num))
-                if len(rows) == 5000:
+                held += len(r[2])
+                if len(rows) == 5000 or held > BUFFER:
                     yield made(rows)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield made(rows)
+            text.close()
 
 
 def read_fastx(spark: SparkSession, *paths: str, numbered: bool = False) -> DataFrame:
-    """All records of FASTA or FASTQ files, gzipped or not; a file is one task, as gzip can't be split.
+    """All records of FASTA or FASTQ files of any size, gzipped or not; a file is one task, as gzip can't be split, and is streamed.
 
     Where asked for, num is a record's place in its file, from 0.
     """
-    got = spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(_parse, SCHEMA + ", num long")
+    got = spark.read.format("binaryFile").load(list(paths)).select("path").mapInArrow(_parse, SCHEMA + ", num long")
     return got if numbered else got.drop("num")
 
 

@@ -71,3 +71,19 @@ def test_libraries():
     for bad in (text.replace("asm_flag=3", "asm_flag=9"), text.replace("name=b", "name=a"), text.replace("max_rd_len=150", "x=1"), text.replace("sf1=y.fq", "")):
         with pytest.raises((ValueError, KeyError)):
             R.parse_libraries(bad)
+
+
+def test_files_are_streamed(spark, tmp_path):
+    """Two gzip members make one file; a worker holds a fraction of what it unpacks to."""
+    import gzip
+
+    from strandloom.sources import reads as R
+
+    body = "".join(f"@r{k} x\n{'ACGT' * 25}\n+\n{'I' * 100}\n" for k in range(60_000)).encode()
+    path = tmp_path / "big file.fq.gz"
+    path.write_bytes(gzip.compress(body) + gzip.compress(body))
+    got = R.read_fastx(spark, str(path), numbered=True)
+    assert got.count() == 120_000 and got.selectExpr("max(num)").first()[0] == 119_999 and got.where("name = 'r59999' AND num = 119999 AND seq = repeat('ACGT', 25)").count() == 1
+
+    batches = R._parse([{"path": type("P", (), {"to_pylist": lambda self: [str(path)]})()}])
+    assert max(b.nbytes for b in batches) < 4 * R.BUFFER
