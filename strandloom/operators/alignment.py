@@ -30,6 +30,15 @@ def places(reads: DataFrame, targets: DataFrame, step: int = STEP, k: int = K) -
     return seeds.join(spots.hint("merge"), "seed").select("read_id", "strand", "seq", "id", (F.col("p") - F.col("o")).alias("start")).distinct()
 
 
+def seed_hits(reads: DataFrame, targets: DataFrame, least: int = STEP, k: int = K) -> DataFrame:
+    """(id, p, rid): places, from 1, of targets (id, seq) where a read (rid, seq) starts with the same k bases.
+
+    Targets shorter than k + least are passed over.
+    """
+    spots = targets.where(F.length("seq") >= k + least).select("id", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("p"), "seq").select("id", "p", F.expr(f"substr(seq, p, {k})").alias("seed"))
+    return spots.join(reads.where(F.length("seq") >= k).select("rid", F.substring("seq", 1, k).alias("seed")), "seed").select("id", "p", "rid")
+
+
 def cigar(marks: Column) -> Column:
     """Runs of letters as counts and letters."""
     return F.array_join(F.transform(F.regexp_extract_all(marks, F.lit("(M+|U+|I+|D+)"), F.lit(1)), lambda x: F.concat(F.length(x).cast("string"), F.substring(x, 1, 1))), "")

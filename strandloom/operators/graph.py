@@ -39,6 +39,18 @@ def node_table(edges: DataFrame, k: int = K) -> DataFrame:
     return ends.groupBy("kmer").agg(freq.cast("int").alias("freq"), F.sum("i").cast("int").alias("n_in"), F.sum("o").cast("int").alias("n_out"))
 
 
+def seeds(nodes: DataFrame, peak: int) -> DataFrame:
+    """(kmer, freq) of unbranched nodes, one strand each, whose frequency is near the peak: a unitig is walked from such."""
+    near = (F.abs(F.col("freq") - peak) < 0.3 * peak) & (F.col("n_in") == 1) & (F.col("n_out") == 1)
+    return nodes.where(near & (encode(F.col("kmer")) <= encode(revcomp(F.col("kmer"))))).select("kmer", "freq")
+
+
+def roots(nodes: DataFrame, valley: int, peak: int) -> DataFrame:
+    """(kmer, freq) of branching nodes, one strand each, between the valley and twice the peak: bubbles are sought from such."""
+    within = (F.col("freq") > valley) & (F.col("freq") < 2 * peak) & ((F.col("n_in") > 1) | (F.col("n_out") > 1))
+    return nodes.where(within & (encode(F.col("kmer")) <= encode(revcomp(F.col("kmer"))))).select("kmer", "freq")
+
+
 def build(edges: DataFrame, k: int = K) -> Graph:
     """Segments (head, start, end, n, mean_freq, seq, freqs, start_*, end_*); n counts the nodes after the first, the last included."""
     ranks, nodes = _kept(ranked(edges, k)), _kept(node_table(edges, k))

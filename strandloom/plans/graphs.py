@@ -13,6 +13,7 @@ from strandloom.operators import alignment
 from strandloom.operators import graph as G
 from strandloom.operators import scaffold
 from strandloom.plans.iterative import _kept
+from strandloom.plans.iterative import unitigs as walked
 from strandloom.plans.sql import SQL
 from strandloom.sources.reads import libraries
 
@@ -153,5 +154,28 @@ def scaffold_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaffold.sequences(scaffold_order(spark, sf_dir), _sql(spark, sf_dir, "SELECT doc_id AS unitig, g AS seq FROM genomes"))
 
 
+def unitig_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.seeds(G.node_table(edges(spark, sf_dir)), PEAK)
+
+
+def simplify_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.roots(G.node_table(edges(spark, sf_dir)), VALLEY, PEAK)
+
+
+def _solid_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walked(_kept(_sql(spark, sf_dir, "SELECT kp1, freq FROM solid")))
+
+
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and mean frequency of each unitig of the solid graph."""
+    return _solid_unitigs(spark, sf_dir).select(F.sha1("seq").alias("id"), "n_kmers", "mean_freq")
+
+
+def map_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that start within unitigs of the solid graph."""
+    targets = _kept(_solid_unitigs(spark, sf_dir).select(F.sha1("seq").alias("id"), "seq"))
+    return alignment.seed_hits(_reads(spark, sf_dir).select(F.col("read_id").alias("rid"), "seq"), targets)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (segments, tips, bubbles, unitigs, dbg_links, dbg_vertex_text, dbg_edge_text, self_cycles, bubble_merge, variant_expand, unitig_quality, map_paths, reads_map, reads_map_gapped, flank_align, flank_pool, flank_extend, readsmap_groups, lib_config, scaffold_order, scaffold_seq)}
+    return {f.__name__: f for f in (unitig_seeds, simplify_roots, segment_stats, map_seed, segments, tips, bubbles, unitigs, dbg_links, dbg_vertex_text, dbg_edge_text, self_cycles, bubble_merge, variant_expand, unitig_quality, map_paths, reads_map, reads_map_gapped, flank_align, flank_pool, flank_extend, readsmap_groups, lib_config, scaffold_order, scaffold_seq)}

@@ -59,7 +59,13 @@ texts AS (SELECT first, last, alts, concat(first, '{{', array_to_string(alts, ',
 UNITIGS = f"solid_edges AS MATERIALIZED (SELECT kp1, freq FROM solid), {graph('u', 'solid_edges')}"
 BOTH_READS = f"SELECT seq AS x FROM reads UNION ALL SELECT {rc('seq')} FROM reads"
 
+ONE_STRAND = f"{ORD.format('kmer')} <= {ORD.format(rc('kmer'))}"
+
 TEXTS = {
+    "unitig_seeds": (WHOLE, f"SELECT kmer, CAST(f AS INT) AS freq FROM w_nodes WHERE plain AND abs(f - {PEAK}) < 0.3 * {PEAK} AND {ONE_STRAND}"),
+    "simplify_roots": (WHOLE, f"SELECT kmer, CAST(f AS INT) AS freq FROM w_nodes WHERE f > {VALLEY} AND f < {2 * PEAK} AND greatest(n_in, n_out) > 1 AND {ONE_STRAND}"),
+    "segment_stats": (UNITIGS, "SELECT sha1(seq) AS id, n + 1 AS n_kmers, CAST(weight // n AS BIGINT) AS mean_freq FROM u_segments WHERE forward"),
+    "map_seed": (UNITIGS, f"SELECT id, CAST(p AS INT) AS p, read_id AS rid FROM (SELECT sha1(seq) AS id, seq, RANGE(1; length(seq) - {K - 1}) AS p FROM u_segments WHERE forward AND length(seq) >= {K + 5}) v JOIN reads ON substr(v.seq, CAST(p AS INT), {K}) = substr(reads.seq, 1, {K})"),
     "segments": (WHOLE, "SELECT seq, n, mean_freq, CASE WHEN last_out = 0 THEN 4 ELSE 3 END AS end_state FROM w_segments"),
     "tips": (WHOLE, f"SELECT seq, n, mean_freq FROM ({tips('w')}) t"),
     "bubbles": (WHOLE, f"SELECT seq, n, mean_freq, best FROM ({bubbles('w')}) b"),

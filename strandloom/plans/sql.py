@@ -22,7 +22,10 @@ def paired(low: int, mean: int) -> str:
 FIRST = f"SELECT read_id AS rid, substr(seq, 1, {K}) AS seed, seq FROM reads"
 BOTH = f"SELECT read_id AS qid, '+' AS strand, seq AS oriented FROM reads UNION ALL SELECT read_id AS qid, '-' AS strand, {rc('seq')} AS oriented FROM reads"
 SEEDS = f"SELECT qid, strand, oriented, CAST(p AS INT) AS p, substr(oriented, CAST(p AS INT) + 1, {K}) AS seed FROM (SELECT qid, strand, oriented, RANGE(1; length(oriented) - {K}) AS p FROM ({BOTH}) b) s"
-OVERLAPS = f"SELECT qid, rid, strand, 100 - p AS consis_len FROM ({SEEDS}) q JOIN ({FIRST}) f ON q.seed = f.seed WHERE qid <> rid AND substr(oriented, p + 1) = substr(f.seq, 1, 100 - p)"
+#: A seed that more reads start with than twice the reads' peak is a repeat and makes no pairs.
+MOST = 26
+CAPPED = f"SELECT f.rid, f.seed, f.seq FROM ({FIRST}) f JOIN (SELECT seed FROM ({FIRST}) r GROUP BY seed HAVING count(*) <= {MOST}) s ON f.seed = s.seed"
+OVERLAPS = f"SELECT qid, rid, strand, 100 - p AS consis_len FROM ({SEEDS}) q JOIN ({CAPPED}) f ON q.seed = f.seed WHERE qid <> rid AND substr(oriented, p + 1) = substr(f.seq, 1, 100 - p)"
 CURVE = """SELECT freq, n, lag(n, 1) OVER w AS a1, lag(n, 2) OVER w AS a2, lag(n, 3) OVER w AS a3, lead(n, 1) OVER w AS b1, lead(n, 2) OVER w AS b2 FROM hist WINDOW w AS (ORDER BY freq)"""
 PEAKS = f"""SELECT freq AS peak, row_number() OVER (ORDER BY freq) AS k FROM ({CURVE}) c
     WHERE a3 < a2 AND a2 < a1 AND a1 < n AND n > b1 AND b1 > b2 AND freq > (SELECT min(freq) FROM ({CURVE}) v WHERE a1 > n AND n < b1)"""
@@ -61,8 +64,6 @@ SQL: dict[str, str] = {
     "filter_qual_pe_q3": paired(0, 35),
     "filter_qual_se": f"SELECT read_id, total FROM ({PER_READ}) r WHERE lib_id = 2 AND low = 0 AND total >= 35 * n",
     "solid_kmers": "SELECT kp1, freq FROM solid",
-    "unitig_seeds": f"SELECT kmer, freq FROM nodes WHERE abs(freq - (SELECT min(peak) FROM ({PEAKS}) p)) < 0.3 * (SELECT min(peak) FROM ({PEAKS}) p) AND {DEGREE.format('llink')} = 1 AND {DEGREE.format('rlink')} = 1",
-    "simplify_roots": f"SELECT kmer, freq FROM nodes WHERE freq > 3 AND ({DEGREE.format('llink')} > 1 OR {DEGREE.format('rlink')} > 1)",
     "relink": f"SELECT kmer, base, side FROM ({TARGETS}) t WHERE NOT EXISTS (SELECT 1 FROM nodes d WHERE d.freq <= 1 AND d.kmer = {canon('t.next')})",
     # joins
     "node_lookup": f"SELECT w.read_id, w.p, n.freq FROM (SELECT read_id, p, {canon(f'substr(kp1, 1, {K})')} AS kmer FROM windows) w JOIN nodes n ON w.kmer = n.kmer",
@@ -76,7 +77,6 @@ SQL: dict[str, str] = {
     "kmer_count": "SELECT kp1, CAST(least(n, 255) AS INT) AS freq FROM counts",
     "kmer_hist": "SELECT freq, n FROM hist",
     "node_build": "SELECT kmer, freq, llink, rlink FROM nodes",
-    "segment_stats": "SELECT doc_id, count(*) AS n_kmers, CAST(floor(sum(freq) / count(*)) AS BIGINT) AS mean_freq FROM (SELECT CAST(floor(w.read_id / 100000) AS BIGINT) AS doc_id, s.freq FROM windows w JOIN solid s ON s.kp1 = w.kp1) q GROUP BY doc_id",
     "read_len_extrema": f"SELECT CAST(min(len) AS INT) AS min_len, CAST(max(len) AS INT) AS max_len FROM ({N_FREE}) r",
     "pair_links": "SELECT u1, u2, n FROM links",
     "insert_size": "SELECT lib_id, count(*) AS n, round(avg(abs(p1 - p2) + 100), 6) AS mean_insert, round(stddev_samp(abs(p1 - p2) + 100), 6) AS sd_insert FROM pairs WHERE u1 = u2 GROUP BY lib_id",
@@ -104,8 +104,7 @@ SQL: dict[str, str] = {
     "union_libs": "SELECT read_id, seq FROM reads WHERE lib_id = 0 UNION ALL SELECT read_id, seq FROM reads WHERE lib_id = 1 UNION ALL SELECT read_id, seq FROM reads WHERE lib_id = 2",
     "both_strands": "SELECT qid AS read_id, strand, oriented AS seq FROM (" + BOTH + ") b",
     # mapping and overlaps
-    "map_seed": f"SELECT g.doc_id, CAST(g.p AS INT) AS p, f.rid FROM (SELECT doc_id, p, substr(g, CAST(p AS INT), {K}) AS seed FROM (SELECT doc_id, g, RANGE(1; length(g) - {K - 1}) AS p FROM genomes) s) g JOIN ({FIRST}) f ON g.seed = f.seed",
-    "overlap_seeds": f"SELECT qid, rid, strand, p FROM ({SEEDS}) q JOIN ({FIRST}) f ON q.seed = f.seed WHERE qid <> rid",
+    "overlap_seeds": f"SELECT qid, rid, strand, p FROM ({SEEDS}) q JOIN ({CAPPED}) f ON q.seed = f.seed WHERE qid <> rid",
     "overlaps": f"SELECT qid, rid, strand, consis_len FROM ({OVERLAPS}) o",
     "hamming": f"SELECT doc_id, rid, CAST(p AS INT) AS p, CAST(sum(CASE WHEN substr(part, CAST(k AS INT), 1) <> substr(seq, CAST(k AS INT), 1) THEN 1 ELSE 0 END) AS BIGINT) AS mismatches FROM (SELECT m.doc_id, m.rid, m.p, m.part, m.seq, RANGE(1; 100) AS k FROM (SELECT g.doc_id, g.p, substr(g.g, CAST(g.p AS INT), 100) AS part, f.rid, f.seq FROM (SELECT doc_id, g, RANGE(1; length(g) - 99) AS p FROM genomes) g JOIN ({FIRST}) f ON substr(g.g, CAST(g.p AS INT), {K}) = f.seed) m) h GROUP BY doc_id, rid, p",
     # all documents as one text of bases
