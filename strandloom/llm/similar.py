@@ -7,8 +7,10 @@ shingle allow the similarity, and is then verified over the whole sets. Any comm
 sample of the rows holds often are put last: that only saves pairs.
 
 A cell never makes all its pairs. First every row is held against the smallest row of each of its cells, which is linear
-and joins groups of copies, however large. Then only cells with rows of different components are looked at, and there
-only pairs of different components, of which one row is not of the cell's largest component.
+and joins groups of copies, however large. Cells that keep more than PIVOTS rows outside their largest component hold
+all their rows against PIVOTS of them, drawn anew each turn, for as long as that joins half of these rows or more. Then
+only pairs of different components meet, of which one row is not of the cell's largest component, and whose bit maps of
+shingles leave room for the similarity: no pair is lost to that, and rows that share a passage alone don't meet.
 
 Shingles are 64-bit hashes of words cut as for op1's fingerprint; fewer words than a shingle give the whole sequence as
 one; a text without a word is similar to none.
@@ -29,6 +31,10 @@ from strandloom.llm.graph import components
 
 #: Words of a shingle, seed of the word hash, one of so many rows sampled, rows of the sample that make a shingle common, most such.
 WORDS, SEED, SAMPLE, OFTEN, COMMON = 5, 43, 8, 2, 400_000
+#: Longs of a row's bit map, a power of two.
+MAP = 8
+#: Rows of a large cell that all others are held against in a turn.
+PIVOTS = 32
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +68,16 @@ def _prefixes(batches, common):
         yield pa.RecordBatch.from_arrays([b["row"], pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["row", "n", "hashes"])
 
 
+def _maps(batches):
+    """A bit for each shingle of a row, by the shingle's last bits."""
+    for b in batches:
+        flags = np.zeros((b.num_rows, 64 * MAP), np.uint8)
+        for k, t in enumerate(b["text"].to_pylist()):
+            flags[k, shingles(t) & (64 * MAP - 1)] = 1
+        got = np.packbits(flags, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b["row"], *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(MAP))], names=["row", *(f"map{k}" for k in range(MAP))])
+
+
 def sets(rows: DataFrame) -> DataFrame:
     """(row, hashes) of rows (row, text)."""
     prepare(rows.sparkSession)
@@ -109,6 +125,30 @@ def _candidates(meetings: DataFrame) -> DataFrame:
     return pairs.where("ok").where(9 * (F.col("c") + F.greatest(left(F.col("n_u")), left(F.col("n_v")))) >= 4 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
+def _mixed(spots: DataFrame, joined: DataFrame) -> DataFrame:
+    """(h, row, n, at, root, members, strays, largest) of spots in cells whose rows have different roots.
+
+    largest: the root that most rows of the cell have; strays: how many rows have another.
+    """
+    spots = spots.select("h", "row", "n", "at").join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").withColumn("root", F.coalesce("component_id", "row"))
+    by_root = spots.groupBy("h", "root").agg(F.count(F.lit(1)).alias("members"))
+    cells = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("members", "root")).alias("most"), F.sum("members").alias("members")).where("roots > 1")
+    cells = cells.select("h", "members", (F.col("members") - F.col("most.members")).alias("strays"), F.col("most.root").alias("largest"))
+    return stored(spots.join(cells, "h").select("h", "row", "n", "at", "root", "members", "strays", "largest"), "similar-mixed")
+
+
+def _pivoted(hot: DataFrame, turn: int) -> DataFrame:
+    """Meetings of all rows of large cells with PIVOTS rows of the cell, drawn by hash and so mostly the same in cells of the same rows."""
+    drawn = hot.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("row", F.lit(turn)), "row"))).where(F.col("k") <= PIVOTS)
+    met = hot.join(drawn.select("h", *[F.col(c).alias(f"{c}_p") for c in ("row", "n", "at", "root")]), "h").where("root <> root_p")
+    return met.select(*_sides(F.col("row") < F.col("row_p"), "", "_p"))
+
+
+def _sides(first: Column, a: str, b: str) -> list[Column]:
+    """Columns u, v, n_u ... of meetings of rows a and b; u is row a where `first` holds."""
+    return [F.when(first if s == "u" else ~first, F.col(f"{c}{a}")).otherwise(F.col(f"{c}{b}")).alias(s if c == "row" else f"{c}_{s}") for c in ("row", "n", "at") for s in "uv"]
+
+
 def groups(rows: DataFrame, only: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(row, root) of rows (row, text), numbered and stored: equal roots for rows that links at the similarity connect.
 
@@ -120,19 +160,27 @@ def groups(rows: DataFrame, only: DataFrame | None = None, known: DataFrame | No
     star = spots.where(F.col("row") > F.col("p.row")).select(F.col("p.row").alias("u"), F.col("row").alias("v"), F.col("p.n").alias("n_u"), F.col("n").alias("n_v"), F.col("p.at").alias("at_u"), F.col("at").alias("at_v"))
     links = verified(rows, _candidates(star))
     links = links if known is None else links.unionByName(known.select("u", "v"))
-    joined = components(links)
-
-    spots = spots.drop("p").join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").withColumn("root", F.coalesce("component_id", "row"))
-    by_root = spots.groupBy("h", "root").agg(F.count(F.lit(1)).alias("members"))
-    mixed = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("members", "root"))["root"].alias("largest")).where("roots > 1").select("h", "largest")
-    spots = stored(spots.join(mixed, "h").select("h", "row", "n", "at", "root", "largest"), "similar-mixed")
-    a, b = (spots.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "root", "largest")]) for s in "ab")
+    joined, spots, turn, before = components(links), spots.drop("p"), 0, None
+    while True:
+        spots = _mixed(spots, joined)
+        hot = spots.where((F.col("strays") > PIVOTS) & (F.col("members") > 2 * PIVOTS))
+        now = hot.select("h", "strays").distinct().agg(F.sum("strays")).first()[0] or 0
+        if not now or (before is not None and now > before / 2):
+            break  # what is left in large cells is few, or not similar
+        more = verified(rows, _candidates(_pivoted(hot, turn)))
+        links = links.unionByName(more)
+        joined, turn, before = components(links), turn + 1, now
+    maps = [f"map{k}" for k in range(MAP)]
+    drawn = stored(picked(rows, "row", spots.select("row").distinct(), then=_maps, schema=", ".join(["row long", *(f"{c} long" for c in maps)])), "similar-maps")
+    spots = stored(spots.join(drawn, "row").select("h", "row", "n", "at", "root", "largest", *maps), "similar-mapped")
+    a, b = (spots.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "root", "largest", *maps)]) for s in "ab")
     a = a.where("root_a <> largest_a")
     fresh = (F.col("root_b") == F.col("largest_b")) | (F.col("row_a") < F.col("row_b"))  # each pair once a cell
-    met = a.join(b, "h").where("root_a <> root_b").where(fresh)
-    first = F.col("row_a") < F.col("row_b")
-    sides = [F.when(first if s == "u" else ~first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{'' if c == 'row' else c + '_'}{s}") for c in ("row", "n", "at") for s in "uv"]
-    more = verified(rows, _candidates(met.select(*sides)))
+    # bits that one map alone has are shingles that its set alone has, and the similarity leaves room for few
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in maps[1:]), F.bit_count(F.col(f"{maps[0]}_{x}").bitwiseAND(F.bitwise_not(f"{maps[0]}_{y}"))))
+    room = lambda x, y: 9 * (F.col(f"n_{x}") - alone(x, y)) >= 4 * (F.col("n_a") + F.col("n_b"))
+    met = a.join(b, "h").where("root_a <> root_b").where(fresh & room("a", "b") & room("b", "a"))
+    more = verified(rows, _candidates(met.select(*_sides(F.col("row_a") < F.col("row_b"), "_a", "_b"))))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     return only.join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").select("row", F.coalesce("component_id", "row").alias("root"))
