@@ -31,6 +31,8 @@ from strandloom.llm.tokens import encoder
 MAGIC = b"S8B1"
 #: Ids of a block, which decodes on its own; ids aimed at in a file; ids that a reader gathers before it sends them on.
 BLOCK, FILE_IDS, HELD = 1024, 16 << 20, 1 << 20
+#: Bytes of a text that make about one id; rows sampled for each file's bounds, and for all of them.
+ID_BYTES, SAMPLE_PART, SAMPLE = 4, 100, 1 << 21
 # Fixed values: (ids in a word, bits of each) by selector, widest first; selector 15 is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 59)]
 ESCAPE = 15
@@ -137,8 +139,16 @@ def read_ids(uri: str, group: int = 512):
         left, held = [have[n:]], held - n
 
 
-def _encoded(batches, path, end_id):
-    """Of each row its id, how many ids its text has and those ids, two bytes each where all fit."""
+def _parts(ids: np.ndarray, rows: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of bounds (id, row), which are sorted, that each (id, row) isn't below."""
+    first, last = (np.searchsorted(bounds[0], ids, side) for side in ("left", "right"))
+    for i in np.nonzero(first < last)[0]:
+        first[i] += np.searchsorted(bounds[1][first[i] : last[i]], rows[i], "right")
+    return first.astype(np.int32)
+
+
+def _encoded(batches, path, end_id, bounds):
+    """Of each row its part, id, how many ids its text has and those ids, two bytes each where all fit."""
     pack, tail = encoder(path).pack, struct.pack("<I", end_id)
     for b in batches:
         sizes, packed = [], []
@@ -146,24 +156,31 @@ def _encoded(batches, path, end_id):
             raw = np.frombuffer(pack(t) + tail, "<u4")
             sizes.append(len(raw))
             packed.append((raw.astype("<u2") if raw.max() < 1 << 16 else raw).tobytes())
-        yield pa.RecordBatch.from_arrays([b["id"], b["row"], pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["id", "row", "n", "ids"])
+        part = _parts(b["id"].fill_null(NULL_ID).to_numpy(), b["row"].to_numpy(), bounds)
+        yield pa.RecordBatch.from_arrays([pa.array(part), b["id"], b["row"], pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["part", "id", "row", "n", "ids"])
 
 
 def _write(batches, folder):
-    """One file for each sorted partition: its name, documents and ids. Only packed ids are held, two or four bytes each."""
-    from pyspark import TaskContext
+    """One file for each part of sorted rows: its name, documents and ids. Only packed ids of one part are held, two or four bytes each."""
+    schema = pa.schema([("part", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    part, docs, held = None, [], []
+
+    def file():
+        ids = np.concatenate(held)
+        held.clear()
+        write_bytes(uri := f"{folder}/ids-{part:06d}.s8b", file_parts(docs, ids))
+        return pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [len(docs)], "n_ids": [len(ids)]}, schema=schema)
 
-    docs, parts = [], []
     for b in batches:
-        for i, n, raw in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["ids"].to_pylist(), strict=True):
+        for p, i, n, raw in zip(*(b[c].to_pylist() for c in ("part", "id", "n", "ids")), strict=True):
+            if p != part and docs:
+                yield file()
+                docs = []
+            part = p
             docs.append((NULL_ID if i is None else i, n))
-            parts.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"))
+            held.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"))
     if docs:
-        part = TaskContext.get().partitionId()
-        ids = np.concatenate(parts)
-        del parts
-        write_bytes(uri := f"{folder}/ids-{part:06d}.s8b", file_parts(docs, ids))
-        yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [len(docs)], "n_ids": [len(ids)]}, schema=pa.schema([("part", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        yield file()
 
 
 #: Stands for a null id in files.
@@ -191,22 +208,34 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([b["id"], b["start"], b["n_tokens"], crc], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
+def _bounds(rows: DataFrame, n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (id, row) that cut the rows into about equal parts, from a sample of them."""
+    share = min(SAMPLE_PART * parts, SAMPLE) / max(1, n)
+    got = (rows.sample(share, seed=1) if share < 1 else rows).toArrow()
+    ids, row = got["id"].fill_null(NULL_ID).to_numpy(), got["row"].to_numpy()
+    order = np.lexsort((row, ids))
+    cuts = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
+    return ids[cuts], row[cuts]
+
+
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of all documents; returns the manifest (part, uri, n_docs, n_ids, start), one row for each file.
 
-    Texts are encoded where they are read, once, and written as packed ids; only those cross the range shuffle. A range is
-    one of (id, row): rows with the same id, or none, are parted by their place, so that no id is too large for a file.
+    Rows go to ranges of (id, row): rows with the same id, or none, are parted by their place, so that no id is too large
+    for a file. Bounds come from a sample of (id, row), at most about SAMPLE rows whatever the input; they decide how even
+    files are, nothing else. So a text is encoded once, where it is read, and only its packed ids are shuffled.
     The manifest has a row for a file, not for a document; the prefix sum over it is the only step that meets in one task.
     """
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or shared_dir(spark, "id-files")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
-    packed = stored(rows.mapInArrow(partial(_encoded, path=path, end_id=end_id), "id long, row long, n long, ids binary"), "id-packed")
-    size, n = packed.agg(F.sum("n"), F.count(F.lit(1))).first()
-    parts = max(1, int(size or 0) // file_ids, min(int(n), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranges = packed.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
-    files = stored(ranges.select("id", "n", "ids").mapInArrow(partial(_write, folder=folder), "part long, uri string, n_docs long, n_ids long"), "id-manifest")
+    n_bytes, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    parts = max(1, int(n_bytes or 0) // (ID_BYTES * file_ids), min(int(n), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    encode_rows = partial(_encoded, path=path, end_id=end_id, bounds=_bounds(rows.select("id", "row"), n, parts))
+    packed = rows.mapInArrow(encode_rows, "part int, id long, row long, n long, ids binary")
+    ranges = packed.repartitionById(parts, "part").sortWithinPartitions("part", "id", "row")
+    files = stored(ranges.select("part", "id", "n", "ids").mapInArrow(partial(_write, folder=folder), "part long, uri string, n_docs long, n_ids long"), "id-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -19,6 +19,22 @@ def test_words_round_trip(n):
         assert sizes.sum() == len(words) and (M.decode(words) == x).all()
 
 
+def test_parts_follow_id_and_row():
+    bounds = (np.array([1, 5, 5, 5, 9]), np.array([4, 2, 6, 6, 0]))
+    ids, rows = np.array([M.NULL_ID, 1, 1, 5, 5, 5, 7, 9, 10]), np.array([9, 3, 4, 1, 2, 6, 0, 0, 0])
+    want = [sum((b, r) <= (i, k) for b, r in zip(*bounds, strict=True)) for i, k in zip(ids, rows, strict=True)]
+    assert M._parts(ids, rows, bounds).tolist() == want
+
+
+def test_any_sample_gives_the_same_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 50, "a " * (k % 7)) for k in range(400)], "doc_id long, text string").repartition(3).sortWithinPartitions("doc_id", "text")
+    rows = lambda: sorted((r.id, r.n_tokens) for r in M.read_manifest(M.write_ids(docs, vocabulary("byte_bpe_50k.json"), 2, file_ids=20)).collect())
+    whole = rows()
+    for few in (0, 3, 40):
+        monkeypatch.setattr(M, "SAMPLE", few)
+        assert rows() == whole and len(whole) == 400
+
+
 def test_files_equal_the_library(spark):
     from tokenizers import Tokenizer
 
