@@ -71,8 +71,7 @@ def locate_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_kmer_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.plans.catalog import spread
 
-    counts = I.text_window_counts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")))
-    return counts.groupBy(F.least("n", F.lit(255)).cast("int").alias("freq")).agg(F.count(F.lit(1)).alias("n"))
+    return I.text_window_hist(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")), 255)
 
 
 def queries() -> dict:

@@ -49,3 +49,41 @@ def test_window_counts_equal_brute_force(spark):
     finally:
         M.PIECE = before
     assert got == want
+
+
+def test_window_counts_of_parts_and_repeats(spark):
+    """Runs dealt out over many parts and taken apart in shares, equal runs as one, texts that end within a piece."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    rng = random.Random(3)
+    texts = ["a" * 3000, "ab" * 700, *("".join(rng.choice("abcdefghijklmnop .") for _ in range(rng.choice([33, 34, 40, 300, 900]))) for _ in range(30))]
+    texts += [texts[5]] * 100 + [texts[9][::-1], None, ""]
+    want = Counter(zip(*(c.to_pylist() for c in next(M._canonical([pa.RecordBatch.from_pydict({"text": texts})])).columns), strict=True))
+    kept = {name: getattr(M, name) for name in ("PIECE", "SLICE", "HELD")}
+    try:
+        for parts, piece, slice_, held in ((1, 1 << 20, 1 << 16, 1 << 20), (7, 1000, 40, 50), (3, 300, 20, 5)):
+            M.PIECE, M.SLICE, M.HELD = piece, slice_, held
+            dealt = pa.Table.from_batches(M._dealt([pa.RecordBatch.from_pydict({"text": texts})], parts))
+            got, seen = Counter(), 0
+            for part in set(dealt["part"].to_pylist()):
+                mine = dealt.filter(pa.compute.equal(dealt["part"], part)).to_batches()
+                for hi, lo, n in M._counted(mine):
+                    seen += len(hi)
+                    got.update(dict(zip(zip(hi.tolist(), lo.tolist(), strict=True), n.tolist(), strict=True)))
+            assert got == want and seen == len(want)
+    finally:
+        for name, value in kept.items():
+            setattr(M, name, value)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    assert {r.freq: r.n for r in M.text_window_hist(frame, 255).collect()} == Counter(min(n, 255) for n in want.values())
+
+
+def test_windows_are_dealt_out_in_few_bytes():
+    """A task sends about two bytes a window, in pieces, whatever the size of a batch (16 bytes a window, all at once, filled workers and disks)."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)) for _ in range(8)]
+    sizes = [sum(len(x.as_py()) for x in b["runs"]) for b in M._dealt([pa.RecordBatch.from_pydict({"text": texts})], 5)]
+    assert sum(sizes) < 2 * 8 * 300_000 and max(sizes) <= 2 * M.PIECE
