@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -16,6 +18,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: Work folders that shared_dir has named in this process.
 _made: list[str] = []
+#: The operator that keeps something in this worker between tasks, and what forgets it.
+_keeper: list = ["", None]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,7 +30,7 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("OPENBLAS_NUM_THREADS", "1")):
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("OPENBLAS_NUM_THREADS", "1")):
         env.setdefault(name, value)  # a worker gives freed memory back, and has one thread for its one task
     for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
@@ -35,6 +39,21 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def only(name: str = "", forget=None) -> None:
+    """A task of an operator begins in this worker: what those of another have kept here between their tasks is forgotten.
+
+    Workers outlive stages, and a pipeline's caches would add up in them. forget: drops what tasks of this name keep.
+    """
+    if _keeper[0] not in ("", name):
+        _keeper[1]()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+    _keeper[:] = name, forget
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the one that the cluster names in spark.checkpoint.dir, which the driver and all executors see.
 
@@ -79,6 +98,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 
 def _picked(batches, number, folder, keep, then):
+    only()
     rows = _listed(batches, number, folder, keep)
     yield from rows if then is None else then(rows)
 

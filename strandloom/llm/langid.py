@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import prepare, read_bytes, shared_dir, text_or_empty, write_bytes
+from strandloom.llm.common import only, prepare, read_bytes, shared_dir, text_or_empty, write_bytes
 
 #: Labelled rows of a fit; addend of a piece; cells (words x bytes) of a batch of words; bytes up to which words of a batch have equal lengths.
 TRAIN_DOCS, ADDEND, CELLS, SHORT = 20_000, 0.05, 1 << 15, 32
@@ -182,7 +182,13 @@ def expected_counts(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.
     return out
 
 
+def _forget():
+    pieces_of.cache_clear()
+    _loaded.cache_clear()
+
+
 def _fit_part(batches, path):
+    only("langid", _forget)
     pieces, tallies = pieces_of(path), defaultdict(Counter)
 
     def flush():
@@ -287,6 +293,7 @@ def _loaded(uri: str) -> tuple[list[str], np.ndarray]:
 
 
 def _predict(batches, path, model):
+    only("langid", _forget)
     predictor = _Predictor(path, model)
     for b in batches:
         pred, score = predictor(b["text"].to_pylist())
@@ -294,6 +301,7 @@ def _predict(batches, path, model):
 
 
 def _keep(batches, path, model, text_col, lang_col, least):
+    only("langid", _forget)
     predictor = _Predictor(path, model)
     for b in batches:
         texts = [t or "" for t in b[text_col].to_pylist()]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import prepare, text_or_empty
+from strandloom.llm.common import only, prepare, text_or_empty
 
 REACH = 200
 KINDS = ["assign", "access", "hex", "ident", "short", "blob", "endpoint"]
@@ -141,6 +141,7 @@ def redacted(text: str, mark: str = "[{}]") -> str:
 
 
 def _redact(batches, text_col, length_col):
+    only()
     for b in batches:
         texts = [t if t is None else redacted(t) for t in b[text_col].to_pylist()]
         new = {text_col: pa.array(texts, b.schema.field(text_col).type)}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import numbered, picked, prepare, stored, text_or_empty
+from strandloom.llm.common import numbered, only, picked, prepare, stored, text_or_empty
 from strandloom.llm.graph import components
 from strandloom.llm.similar import groups, verified
 
@@ -62,12 +62,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def _fingerprints(batches, words):
+    only()
     for b in batches:
         got = np.array([fingerprint(t, words) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b["id"], pa.array(got, pa.int64())], names=["id", "fp"])
 
 
 def _keyed(batches, words):
+    only()
     for b in batches:
         got = np.array([fingerprint(t, words) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b["id"], b["own"], b["key"], pa.array(got, pa.int64())], names=["row", "id", "key", "fp"])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import picked, prepare, stored
+from strandloom.llm.common import only, picked, prepare, stored
 from strandloom.llm.graph import components
 
 #: Words of a shingle, seed of the word hash, one of so many rows sampled, rows of the sample that make a shingle common, most such.
@@ -52,12 +52,14 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def _sets(batches):
+    only()
     for b in batches:
         got = [shingles(t) for t in b["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([b["row"], pa.array(got, pa.list_(pa.int64()))], names=["row", "hashes"])
 
 
 def _prefixes(batches, common):
+    only()
     for b in batches:
         sizes, parts = [], []
         for t in b["text"].to_pylist():

@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from strandloom.llm.common import only
+
 #: Parts that a worker remembers; later ones are encoded anew each time, which changes time but no result.
 CACHE_PARTS = 300_000
 SOUND_BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -147,7 +149,10 @@ class Encoder:
                 parts.strict = True
 
 
-@lru_cache(maxsize=4)
+_encoder = lru_cache(maxsize=4)(Encoder)
+
+
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    return Encoder(path)
+    """One encoder for each worker process and file, until a task of another operator begins there."""
+    only("tokens", _encoder.cache_clear)
+    return _encoder(path)

@@ -59,3 +59,21 @@ def test_odd_tables(spark):
 def test_run_and_names(spark):
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scans", "best_fit_packing"]
     assert {"doc_id", "sequence_id", "offset"} <= set(P.run(spark, SF).columns)
+
+
+def test_a_worker_keeps_one_operators_caches():
+    """Workers outlive stages: what packing keeps goes when a task of another stage begins there, and stays between its own tasks."""
+    import pyarrow as pa
+    from strandloom.llm import langid, packing, secrets, similar, simhash, tokens
+
+    path, multi = P.vocabulary("word_bpe_49k.json"), P.vocabulary("byte_bpe_multi_50k.tiktoken")
+    batch = pa.RecordBatch.from_pydict({"row": [1], "id": [1], "own": [1], "key": ["k"], "text": ["the cat and the dog"], "lang": ["en"]})
+    pack = lambda: list(packing._pieces([batch], path, 1, 64, False))
+    others = [lambda: langid._fit_part([batch], multi), lambda: similar._sets([batch]), lambda: simhash._keyed([batch], 5), lambda: secrets._redact([batch], "text", None)]
+    for task in others:
+        first = pack()
+        assert pack() == first and tokens._encoder.cache_info().currsize == 1
+        assert list(task()) and tokens._encoder.cache_info().currsize == 0
+    list(langid._fit_part([batch], multi))
+    assert langid.pieces_of.cache_info().currsize == 1
+    assert pack() == first and langid.pieces_of.cache_info().currsize == 0
