@@ -6,11 +6,14 @@ and the same of the other. Rows meet on such shingles, a cell each; a pair goes
 shingle allow the similarity, and is then verified over the whole sets. Any common order is exact, so shingles that a
 sample of the rows holds often are put last: that only saves pairs.
 
-A cell never makes all its pairs. First every row is held against the smallest row of each of its cells, which is linear
-and joins groups of copies, however large. Cells that keep more than PIVOTS rows outside their largest component hold
-all their rows against PIVOTS of them, drawn anew each turn, for as long as that joins half of these rows or more. Then
-only pairs of different components meet, of which one row is not of the cell's largest component, and whose bit maps of
-shingles leave room for the similarity: no pair is lost to that, and rows that share a passage alone don't meet.
+A cell never sends on all its pairs. First every row is held against the smallest row of each of its cells, which is linear
+and joins groups of copies, however large. Large cells that keep more than STRAYS rows outside their largest component are
+then compared whole, inside tasks: cells of mostly the same rows become one group, a group is cut into tiles, and each pair
+of tiles is a task's unit of work, which holds the rows' whole sets and counts what they share. A unit sends on a spanning
+forest of the links that it finds, so its output grows with its rows and not with their pairs; its time still grows with
+the rows outside the largest component times all rows of the group. In the cells that are left, which have at most
+LARGE rows or at most STRAYS such rows, pairs of different components meet in a join if one row is not of the
+cell's largest component and bit maps of their shingles leave room for the similarity: no pair is lost to that.
 
 Shingles are 64-bit hashes of words cut as for op1's fingerprint; fewer words than a shingle give the whole sequence as
 one; a text without a word is similar to none.
@@ -33,8 +36,11 @@ from strandloom.llm.graph import components
 WORDS, SEED, SAMPLE, OFTEN, COMMON = 5, 43, 8, 2, 400_000
 #: Longs of a row's bit map, a power of two.
 MAP = 8
-#: Rows of a large cell that all others are held against in a turn.
-PIVOTS = 32
+MAPS = [f"map{k}" for k in range(MAP)]
+#: Rows of a large cell, and those outside its largest component that a join may still hold against all of its rows.
+LARGE, STRAYS = 64, 32
+#: Rows of a tile, and shingles of one; a group of many rows has TILES tiles or as many as the shingles ask for.
+TILE, TILE_SHINGLES, TILES = 128, 1 << 20, 15
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,7 +83,7 @@ def _maps(batches):
         for k, t in enumerate(b["text"].to_pylist()):
             flags[k, shingles(t) & (64 * MAP - 1)] = 1
         got = np.packbits(flags, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b["row"], *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(MAP))], names=["row", *(f"map{k}" for k in range(MAP))])
+        yield pa.RecordBatch.from_arrays([b["row"], *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(MAP))], names=["row", *MAPS])
 
 
 def sets(rows: DataFrame) -> DataFrame:
@@ -128,22 +134,108 @@ def _candidates(meetings: DataFrame) -> DataFrame:
 
 
 def _mixed(spots: DataFrame, joined: DataFrame) -> DataFrame:
-    """(h, row, n, at, root, members, strays, largest) of spots in cells whose rows have different roots.
+    """(h, row, n, at, root, members, strays, largest, label) of spots in cells whose rows have different roots.
 
-    largest: the root that most rows of the cell have; strays: how many rows have another.
+    largest: the root that most rows of the cell have; strays: how many rows have another. label: the least hash of its
+    rows, which cells of mostly the same rows mostly share.
     """
     spots = spots.select("h", "row", "n", "at").join(joined.select(F.col("node").alias("row"), "component_id"), "row", "left").withColumn("root", F.coalesce("component_id", "row"))
-    by_root = spots.groupBy("h", "root").agg(F.count(F.lit(1)).alias("members"))
-    cells = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("members", "root")).alias("most"), F.sum("members").alias("members")).where("roots > 1")
-    cells = cells.select("h", "members", (F.col("members") - F.col("most.members")).alias("strays"), F.col("most.root").alias("largest"))
-    return stored(spots.join(cells, "h").select("h", "row", "n", "at", "root", "members", "strays", "largest"), "similar-mixed")
+    by_root = spots.groupBy("h", "root").agg(F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("row")).alias("label"))
+    cells = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("members", "root")).alias("most"), F.sum("members").alias("members"), F.min("label").alias("label")).where("roots > 1")
+    cells = cells.select("h", "members", (F.col("members") - F.col("most.members")).alias("strays"), F.col("most.root").alias("largest"), "label")
+    return stored(spots.join(cells, "h").select("h", "row", "n", "at", "root", "members", "strays", "largest", "label"), "similar-mixed")
 
 
-def _pivoted(hot: DataFrame, turn: int) -> DataFrame:
-    """Meetings of all rows of large cells with PIVOTS rows of the cell, drawn by hash and so mostly the same in cells of the same rows."""
-    drawn = hot.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("row", F.lit(turn)), "row"))).where(F.col("k") <= PIVOTS)
-    met = hot.join(drawn.select("h", *[F.col(c).alias(f"{c}_p") for c in ("row", "n", "at", "root")]), "h").where("root <> root_p")
-    return met.select(*_sides(F.col("row") < F.col("row_p"), "", "_p"))
+class _Tile:
+    """The sets of a tile's rows, to be held against one row at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.owner = flat[order], owner[order]
+
+    def alike(self, one: np.ndarray) -> np.ndarray:
+        """Positions of the rows whose sets are at the similarity to this one."""
+        lo, hi = np.searchsorted(self.hashes, one, "left"), np.searchsorted(self.hashes, one, "right")
+        many = hi - lo
+        held = self.owner[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        shared = np.bincount(held, minlength=len(self.n))
+        return np.nonzero((shared > 0) & (9 * shared >= 4 * (len(one) + self.n)))[0]
+
+
+def _forest(rows: list[int], roots: list[int], sets: list[np.ndarray], sides: list[np.ndarray], largest: int) -> list[tuple[int, int]]:
+    """Links between rows of both sides (positions; one side: within it) that, with the roots, connect all rows at the similarity.
+
+    Rows that are of the largest component already are not compared: a link of theirs is found by its other end, or joins
+    two rows of that component.
+    """
+    up, out = {r: r for r in roots} | {largest: largest}, []
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    tiles = [_Tile([sets[k] for k in s]) for s in sides]
+    for side, (other, tile) in zip(sides, zip(sides[::-1], tiles[::-1], strict=True), strict=True):
+        for i in side.tolist():
+            if find(roots[i]) != find(largest):
+                for j in other[tile.alike(sets[i])].tolist():
+                    a, b = find(roots[i]), find(roots[j])
+                    if a != b:
+                        up[a] = b
+                        out.append((rows[i], rows[j]))
+    return out
+
+
+def _units(batches):
+    only()
+    for b in batches:
+        for members, largest, ta, tb in zip(b["members"], b["largest"].to_pylist(), b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+            got = members.values
+            rows, roots, tile = (got.field(c).to_pylist() for c in ("row", "root", "tile"))
+            hashes = got.field("hashes")
+            ends, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+            sets = [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            sides = [np.nonzero(np.array(tile) == k)[0] for k in sorted({ta, tb})]
+            found = _forest(rows, roots, sets, sides, largest) if all(map(len, sides)) else []
+            u, v = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _compared(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all rows at the similarity which meet in these cells, as far as their roots don't."""
+    cells = hot.select("h", "label", "members").distinct().groupBy("label").agg(F.sum(F.col("members") * F.col("members")).alias("pairs"))
+    merged = hot.groupBy("label").agg(F.count_distinct("row").alias("rows")).join(cells, "label").where("rows * rows <= pairs").select("label", F.lit(True).alias("merged"))
+    # cells with little in common but a row stay apart
+    named = hot.join(merged, "label", "left").withColumn("name", F.when(F.col("merged"), F.col("label")).otherwise(F.col("h"))).select(F.coalesce("merged", F.lit(False)).alias("merged"), "name", "row", "root", "n").distinct()
+    named = stored(named, "similar-named")
+    by_root = named.groupBy("merged", "name", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    sizes = by_root.groupBy("merged", "name").agg(F.max(F.struct("rows", "root"))["root"].alias("largest"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    tiles = F.greatest(F.least(F.ceil(F.col("rows") / TILE), F.lit(TILES)), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    named = named.join(sizes.select("merged", "name", "largest", tiles.alias("tiles")), ["merged", "name"])
+    sets = stored(picked(rows, "row", named.select("row").distinct(), then=_sets, schema="row long, hashes array<long>"), "similar-hot-sets")
+    named = named.withColumn("tile", F.pmod(F.xxhash64("row", F.lit(1)), F.col("tiles")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("tile")).alias("a"), F.greatest(o, F.col("tile")).alias("b")))
+    units = named.join(sets, "row").select("merged", "name", "largest", "row", "root", "tile", "hashes", F.inline(pairs))
+    units = units.groupBy("merged", "name", "largest", "a", "b").agg(F.collect_list(F.struct("row", "root", "tile", "hashes")).alias("members"))
+    return stored(units.select("members", "largest", "a", "b").mapInArrow(_units, "u long, v long"), "similar-compared")
+
+
+def _room() -> Column:
+    """Whether rows _a and _b are of different components and their bit maps leave room for the similarity; never false for a pair at it.
+
+    Bits that one map alone has are shingles that its set alone has, and the similarity leaves room for few.
+    """
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in MAPS[1:]), F.bit_count(F.col(f"{MAPS[0]}_{x}").bitwiseAND(F.bitwise_not(f"{MAPS[0]}_{y}"))))
+    room = lambda x, y: 9 * (F.col(f"n_{x}") - alone(x, y)) >= 4 * (F.col("n_a") + F.col("n_b"))
+    return (F.col("root_a") != F.col("root_b")) & room("a", "b") & room("b", "a")
+
+
+def _side(spots: DataFrame, side: str, *more: str) -> DataFrame:
+    return spots.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "n", "at", "root", *more, *MAPS)])
 
 
 def _sides(first: Column, a: str, b: str) -> list[Column]:
@@ -162,26 +254,20 @@ def groups(rows: DataFrame, only: DataFrame | None = None, known: DataFrame | No
     star = spots.where(F.col("row") > F.col("p.row")).select(F.col("p.row").alias("u"), F.col("row").alias("v"), F.col("p.n").alias("n_u"), F.col("n").alias("n_v"), F.col("p.at").alias("at_u"), F.col("at").alias("at_v"))
     links = verified(rows, _candidates(star))
     links = links if known is None else links.unionByName(known.select("u", "v"))
-    joined, spots, turn, before = components(links), spots.drop("p"), 0, None
-    while True:
-        spots = _mixed(spots, joined)
-        hot = spots.where((F.col("strays") > PIVOTS) & (F.col("members") > 2 * PIVOTS))
-        now = hot.select("h", "strays").distinct().agg(F.sum("strays")).first()[0] or 0
-        if not now or (before is not None and now > before / 2):
-            break  # what is left in large cells is few, or not similar
-        more = verified(rows, _candidates(_pivoted(hot, turn)))
-        links = links.unionByName(more)
-        joined, turn, before = components(links), turn + 1, now
-    maps = [f"map{k}" for k in range(MAP)]
-    drawn = stored(picked(rows, "row", spots.select("row").distinct(), then=_maps, schema=", ".join(["row long", *(f"{c} long" for c in maps)])), "similar-maps")
-    spots = stored(spots.join(drawn, "row").select("h", "row", "n", "at", "root", "largest", *maps), "similar-mapped")
-    a, b = (spots.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "root", "largest", *maps)]) for s in "ab")
-    a = a.where("root_a <> largest_a")
+    joined = components(links)
+    spots = _mixed(spots, joined)
+    large = (F.col("strays") > STRAYS) & (F.col("members") > LARGE)
+    hot = spots.where(large)
+    if not hot.isEmpty():
+        # pairs that meet in a large cell are done with, so the second step needs none of its spots
+        links = links.unionByName(_compared(rows, hot))
+        joined = components(links)
+        spots = _mixed(spots.where(~large), joined)
+    drawn = stored(picked(rows, "row", spots.select("row").distinct(), then=_maps, schema=", ".join(["row long", *(f"{c} long" for c in MAPS)])), "similar-maps")
+    spots = stored(spots.join(drawn, "row").select("h", "row", "n", "at", "root", "largest", *MAPS), "similar-mapped")
+    a, b = _side(spots, "a", "largest").where("root_a <> largest_a"), _side(spots, "b", "largest")
     fresh = (F.col("root_b") == F.col("largest_b")) | (F.col("row_a") < F.col("row_b"))  # each pair once a cell
-    # bits that one map alone has are shingles that its set alone has, and the similarity leaves room for few
-    alone = lambda x, y: sum((F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in maps[1:]), F.bit_count(F.col(f"{maps[0]}_{x}").bitwiseAND(F.bitwise_not(f"{maps[0]}_{y}"))))
-    room = lambda x, y: 9 * (F.col(f"n_{x}") - alone(x, y)) >= 4 * (F.col("n_a") + F.col("n_b"))
-    met = a.join(b, "h").where("root_a <> root_b").where(fresh & room("a", "b") & room("b", "a"))
+    met = a.join(b, "h").where(fresh & _room())
     more = verified(rows, _candidates(met.select(*_sides(F.col("row_a") < F.col("row_b"), "_a", "_b"))))
     if not more.isEmpty():
         joined = components(links.unionByName(more))

@@ -69,6 +69,31 @@ def test_chains_need_more_than_the_smallest_row_of_a_cell(spark):
     assert {r.row: r.root for r in M.groups(stored(spark.createDataFrame(rows, "row long, text string"), "t")).collect()} == brute_groups(rows)
 
 
+def test_meetings_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    """Near copies about the similarity, so that neither one row nor a few drawn ones are linked to all: no join sends on their pairs."""
+    rng, candidates, met = random.Random(3), M._candidates, []
+    monkeypatch.setattr(M, "_candidates", lambda meetings: met.append(meetings.count()) or candidates(meetings))
+    base, texts = [f"w{k}" for k in range(120)], []
+    for k in range(400):
+        copy = list(base)
+        for n in range(rng.randint(1, 3)):
+            copy[rng.randrange(120)] = f"x{k}_{n}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    want = brute_groups(rows)
+    assert 20 < len(set(want.values())) < 300
+    assert {r.row: r.root for r in M.groups(stored(spark.createDataFrame(rows, "row long, text string"), "t")).collect()} == want
+    assert sum(met) < 64 * len(rows)
+
+
+def test_all_cells_compared_in_tiles(spark, monkeypatch):
+    """Cells with much and with little in common, one tile and many."""
+    for name, value in (("LARGE", 1), ("STRAYS", 0), ("TILE", 2), ("TILES", 3), ("TILE_SHINGLES", 400)):
+        monkeypatch.setattr(M, name, value)
+    rows = sample(8)
+    assert {r.row: r.root for r in M.groups(stored(spark.createDataFrame(rows, "row long, text string"), "t")).collect()} == brute_groups(rows)
+
+
 @pytest.mark.parametrize("keep", [True, False])
 def test_picked_rows(spark, keep):
     docs, number = numbered(spark.range(1000).selectExpr("id", "concat('t', id) AS Row_Number_Of_Copy").repartition(7), "t")
